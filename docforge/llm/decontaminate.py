@@ -26,17 +26,20 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str], where: Column | None = None) -> DataFrame:
-    """A row for each position and mask of the tokens h: place, key; null where the mask reaches beyond the end."""
-    n = len(masks)
-    key = F.lit(None).cast("long")
-    for k, mask in enumerate(masks):
-        whole = F.get("h", (F.col("_s") / n).cast("int") + max(mask)).isNotNull()
-        one = F.xxhash64(F.lit(k), *(F.get("h", F.expr(f"cast(_s div {n} as int) + {o}")) for o in mask))
-        key = F.when((F.col("_s") % n == k) & whole, one).otherwise(key)
-    spots = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") * n - 1))
-    out = df.select(*keep, "h", F.explode_outer(spots).alias("_s"))
-    return out.select(*keep, "h", F.expr(f"cast(_s div {n} as int)").alias("place"), key.alias("key")).filter("key IS NOT NULL")
+def _rotated(h: str, at: str, by: int) -> str:
+    word = f"get({h}, {at})"
+    return f"(shiftleft({word}, {by}) | shiftrightunsigned({word}, {64 - by}))" if by else word
+
+
+def _seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
+    """A row for each position and mask of the tokens h: place, key; none where the mask reaches beyond the end.
+
+    A key is the exclusive or of the tokens' hashes, each rotated by its rank in the mask: short
+    enough that positions, keys and the join's probe stay in one compiled loop, in which h is never copied.
+    """
+    keys = [" ^ ".join([f"{k * 0x9E3779B97F4A7}L", *(_rotated("h", f"place + {o}", 11 * rank) for rank, o in enumerate(mask))]) for k, mask in enumerate(masks, 1)]
+    places = df.select(*keep, "h", F.explode_outer(F.expr("if(size(h) > 0, sequence(0, size(h) - 1), null)")).alias("place"))
+    return places.select(*keep, "h", "place", F.explode_outer(F.expr(f"array({', '.join(keys)})")).alias("key")).filter("key IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = 20) -> DataFrame:
