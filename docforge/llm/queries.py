@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, quality, sentencepiece_codec, sharding, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, sentencepiece_codec, sharding, url_filter
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.pack_shards(documents(spark, sf_dir), 24)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(documents(spark, sf_dir), 90)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_sharding, op4_exact_dedup, op5_decontamination, op6_quality, op7_url_filter, op9_html_text, op10_sentencepiece)
+    for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_exact_dedup, op5_decontamination, op6_quality, op7_url_filter, op9_html_text, op10_sentencepiece)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
