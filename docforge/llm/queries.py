@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, sentencepiece_codec, sharding, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_exact_dedup, op5_decontamination, op6_quality, op7_url_filter, op9_html_text, op10_sentencepiece)
+    for f in (op1_language_id, op2_sharding, op3_jaccard_join, op4_exact_dedup, op5_decontamination, op6_quality, op7_url_filter, op8_suffix_dedup, op9_html_text, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
