@@ -73,6 +73,22 @@ _BIT_IS_SET = """
 """
 
 
+def split_by(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose value may be in a bit_filter(), and those whose value is not."""
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    spot = df.withColumn("_bit", bit).withColumn("_slab", F.bitmap_bucket_number("_bit"))
+    told = spot.join(F.broadcast(bitmaps.withColumnRenamed("slab", "_slab").withColumnRenamed("bitmap", "_bitmap")), "_slab", "left")
+    may = told.select(*df.columns, F.coalesce(F.expr(_BIT_IS_SET.replace("bitmap,", "_bitmap,")), F.lit(False)).alias("_may"))
+    return may.filter("_may").drop("_may"), may.filter("NOT _may").drop("_may")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone(doc_id); only rows that a bit filter can't clear are shuffled."""
+    gone = materialise(gone.select("doc_id").distinct(), "gone")
+    may, clear = split_by(docs, "doc_id", bit_filter(gone, "doc_id"))
+    return clear.unionByName(may.join(gone, "doc_id", "left_anti"))
+
+
 def through(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> DataFrame:
     """The rows of df whose value may be in a bit_filter()."""
     spot = df.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << bits)))

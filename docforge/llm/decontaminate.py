@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 
 #: Five tokens count in each mask, at these places.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 7), (0, 2, 3, 5, 6))
@@ -99,4 +99,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without those that overlap with an item; a row whose id is null stays."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, contaminated(docs, benchmark))

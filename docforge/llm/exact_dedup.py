@@ -9,10 +9,10 @@ are compared before the index may call them equal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, through
+from .common import bit_filter, materialise, split_by, through
 
 #: The white space that does not count.
 IGNORED = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -84,6 +84,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat both id and text one stays."""
+    gone = exact_dedup(docs).filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias("_digest"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_other"))
+    gone = materialise(gone.groupBy("doc_id", "_digest").agg(F.max("_other").alias("_other")), "dedup-gone")
+    keyed = docs.withColumn("_digest", _digest(F.col("text")))
+    may, clear = split_by(keyed, "_digest", bit_filter(gone, "_digest"))
+    found = may.join(gone.withColumnRenamed("_digest", "_digest2").withColumnRenamed("doc_id", "_id2"), F.expr("doc_id <=> _id2 AND _digest = _digest2"), "left")
+    repeated = found.filter("NOT _other").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.length("text").desc())))
+    return clear.select(docs.columns).unionByName(found.filter("_other IS NULL").select(docs.columns)).unionByName(repeated.filter("_n = 1").select(docs.columns))
+
+
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,

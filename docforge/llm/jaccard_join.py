@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, through
+from .common import bit_filter, materialise, through, without
 from .components import components
 from .words import hash64, mixed, pieces, split
 
@@ -35,7 +35,7 @@ BLOCK_SETS = 500
 BLOCK_SHINGLES = 1_000_000
 
 
-def shingle_sets(texts: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word shingles; fewer words make one shingle, no words none."""
     words, codes, begins = split(texts, lower=True)
     h = hash64(words)[codes]
@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _order(docs: DataFrame) -> np.ndarray:
+def _order(docs: DataFrame, width: int) -> np.ndarray:
     """How common each bucket of shingles is, on a scale of logarithms. Any table gives right results; a good one keeps regions small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def _order(docs: DataFrame) -> np.ndarray:
 
         for b in batches:
             for _, part in pieces(b.column("text")):
-                held += shingle_sets(part)
+                held += shingle_sets(part, width)
                 if sum(map(len, held)) >= LOCAL_SHINGLES:
                     yield from flush()
         if held:
@@ -81,7 +81,7 @@ def _order(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _keys(docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, order: np.ndarray, percent: int, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and the shingles whose regions the set goes to."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -89,7 +89,7 @@ def _keys(docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
         for b in batches:
             for start, part in pieces(b.column("text")):
                 sizes, digests, firsts = [], [], []
-                for s in shingle_sets(part):
+                for s in shingle_sets(part, width):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     rank = shared.value[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
@@ -104,11 +104,11 @@ def _keys(docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, firsts array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, part in pieces(b.column("text")):
-                found = [s.tobytes() for s in shingle_sets(part)]
+                found = [s.tobytes() for s in shingle_sets(part, width)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(start, len(part)), pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], ["rep", "digest", "shingles"]
                 )
@@ -163,17 +163,17 @@ def join_region(nodes: np.ndarray, sets: list[np.ndarray], outside: np.ndarray,
     return links
 
 
-def linked_components(docs: DataFrame, percent: int = 90) -> DataFrame:
+def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs(doc_id, text, ...).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of
-    3-word shingles; component_id is the smallest doc_id that links reach. Null texts and those without
+    `width`-word shingles; component_id is the smallest doc_id that links reach. Null texts and those without
     words have no shingles and link with nothing. A row whose doc_id is null links with nothing and has a
     null component. Equal sets, repeated rows too, are one node. An empty table gives an empty result;
     other columns don't matter.
     """
     docs = docs.select("doc_id", "text")
-    rows = materialise(_keys(docs, _order(docs), percent), "jaccard-keys")
+    rows = materialise(_keys(docs, _order(docs, width), percent, width), "jaccard-keys")
     classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "firsts").agg(F.min("doc_id").alias("rep"))
     reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     placed = reps.select("node", "n_shingles", F.explode("firsts").alias("region"))
@@ -184,7 +184,7 @@ def linked_components(docs: DataFrame, percent: int = 90) -> DataFrame:
 
     involved = members.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
     sets = through(docs.withColumnRenamed("doc_id", "rep"), "rep", bit_filter(involved, "rep")).withColumnRenamed("rep", "doc_id")
-    sets = materialise(_sets(sets).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
+    sets = materialise(_sets(sets, width).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
 
     pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
     pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
@@ -211,10 +211,9 @@ def linked_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     return rows.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = 90) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, or null."""
-    gone = linked_components(docs, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_first(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs but those of documents of which a near copy has a smaller doc_id; rows that share a doc_id go together, null ids stay."""
+    return without(docs, linked_components(docs, percent, width).filter("doc_id <> component_id"))
 
 
 ORACLE_SQL = r"""

@@ -160,3 +160,25 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_languages int")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language scores `least` or more.
+
+    Texts without a letter go; if no row has a language to learn from, all others stay.
+    """
+    model = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, part in pieces(b.column("text")):
+                if model_languages:
+                    _, score, many = infer(part, shared.value)
+                    stay = (many > 0) & (score >= least)
+                else:
+                    stay = np.diff(trigrams(part)[1]) > 0
+                yield b.slice(start, len(part)).filter(pa.array(stay))
+
+    model_languages = len(model.languages)
+    return docs.mapInArrow(run, docs.schema)

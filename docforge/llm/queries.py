@@ -23,7 +23,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked_components(documents(spark, sf_dir), 90)
+    return jaccard_join.linked_components(documents(spark, sf_dir), percent=90, width=3)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
