@@ -13,6 +13,7 @@ are joined again, with new pivots, until none is left.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,10 @@ from .common import bit_filter, materialise, through, without
 from .components import components
 from .words import hash64, mixed, pieces, split
 
-#: The order's table has a byte for each of so many buckets of shingles, and counts those that repeat this often within so many shingles of a task.
-ORDER_BITS = 22
-LOCAL_REPEAT = 4
-LOCAL_SHINGLES = 2_000_000
+#: The order has so many buckets of shingles, and levels by how often those repeat that occur twice within so many shingles of a task.
+ORDER_BITS = 24
+LEVELS = (2, 6, 24, 100)
+LOCAL_SHINGLES = 4_000_000
 #: Regions are joined in one task up to so many sets and shingles, and block by block beyond.
 BLOCK_SETS = 500
 BLOCK_SHINGLES = 1_000_000
@@ -63,7 +64,7 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
         def flush() -> Iterator[pa.RecordBatch]:
             kinds, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            often = times >= LOCAL_REPEAT
+            often = times > 1
             buckets = (kinds[often] >> np.uint64(64 - ORDER_BITS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(times[often].astype(np.int64))], ["bucket", "n"])
 
@@ -75,9 +76,13 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
         if held:
             yield from flush()
 
-    found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    levels = found.select(F.col("bucket") + 1, F.explode(F.expr(f"filter(array({', '.join(map(str, LEVELS))}), t -> n >= t)")).alias("level")).toDF("bit", "level")  # the bitmap functions count from 1
+    slabs = levels.groupBy("level", F.bitmap_bucket_number("bit").alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
     out = np.zeros(1 << ORDER_BITS, np.uint8)
-    out[np.asarray(found.column("bucket"))] = np.log2(np.asarray(found.column("n"))).astype(np.uint8)
+    for r in slabs.toLocalIterator():
+        start = (r["slab"] - 1) * 32768
+        out[start : start + 32768] += np.unpackbits(np.frombuffer(r["bitmap"], np.uint8), bitorder="little")
     return out
 
 
@@ -176,11 +181,17 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     rows = materialise(_keys(docs, _order(docs, width), percent, width), "jaccard-keys")
     classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "firsts").agg(F.min("doc_id").alias("rep"))
     reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    placed = reps.select("node", "n_shingles", F.explode("firsts").alias("region"))
-    regions = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter("n > 1")
+    placed = reps.select("node", "n_shingles", F.explode("firsts").alias("shingle"))
+    shared = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    shared = materialise(shared, "jaccard-shared")
+    # Similar sets differ in size by a factor of 100 / percent at most: each goes into the region of its band of sizes and into the next one's.
+    band = F.floor(F.log("n_shingles") / (math.log(100 / percent) + 1e-9))
+    banded = through(placed, "shingle", bit_filter(shared, "shingle")).join(shared, "shingle").select("node", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"), "shingle")
+    banded = materialise(banded.select("node", "n_shingles", F.xxhash64("shingle", "band").alias("region")), "jaccard-banded")
+    regions = banded.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter("n > 1")
     # Near copies share many shingles, and so many regions have the same sets: one of them is joined.
     regions = materialise(regions.groupBy("n", "pivot", "last", "sum").agg(F.min("region").alias("region")).select("region", "n", "pivot"), "jaccard-regions")
-    members = materialise(through(placed, "region", bit_filter(regions, "region")).join(regions, "region"), "jaccard-members")
+    members = materialise(banded.join(regions, "region"), "jaccard-members")
 
     involved = members.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
     sets = through(docs.withColumnRenamed("doc_id", "rep"), "rep", bit_filter(involved, "rep")).withColumnRenamed("rep", "doc_id")
@@ -193,7 +204,9 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     again = members.filter("n > 2 AND node <> pivot").join(compared.select("node", "pivot", "near", "away"), ["node", "pivot"])
     outside = again.filter("NOT near").groupBy("region").agg(F.min("away").alias("nearest"))
     left = materialise(again.join(outside, "region").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles", (~F.col("near")).alias("outside")), "jaccard-left")
-    blocks = left.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    same = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", "outside")).alias("sum")).filter("n > 1")
+    left = left.join(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region"), "region")
+    blocks = left.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = left.join(blocks, "region").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "outside").join(sets, "node")
 
