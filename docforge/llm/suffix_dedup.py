@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bit_filter, materialise, split_by
 from .words import mixed
 
 LENGTH, GRAM, WINDOW = 100, 32, 64
@@ -194,6 +195,14 @@ class LoserTree:
             self.winner = w
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 def repeats(keys: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For keys in order: which lie in strings that an anchor of lower rank has too, and the least and most bytes before the anchor of such strings.
 
@@ -234,11 +243,11 @@ def _between(lcp: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 SPANS = "owner long, mark long, start int, stop int"
-RUNS = "part int, n int, lcp binary, tails binary, owner binary, mark binary, place binary, span_owner long, span_mark long, start int, stop int"
+RUNS = "part int, n int, lcp binary, tails binary, owner binary, mark binary, place binary, gone binary"
 
 
 def _runs(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
-    """Sorted, front-coded runs of suffixes, one for each merging task; and spans that a run itself shows to be repeated (n is null there)."""
+    """Sorted, front-coded runs of suffixes, one for each merging task, with a share of the spans that the run itself shows to be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,22 +261,19 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
             keys, grams, owner, mark, place = keys[order], grams[order], owner[order], mark[order], place[order]
             again = common_prefixes(keys) == KEY
             least, most = reach(keys)
-            gone = again & (least <= most)
-            spans = pa.RecordBatch.from_arrays(
-                [*(pa.nulls(int(gone.sum()), t) for t in kinds[:7]), pa.array(owner[gone]), pa.array(mark[gone]), pa.array((place - most)[gone].astype(np.int32)), pa.array((place - np.maximum(least, 0) + LENGTH)[gone].astype(np.int32))],
-                names,
-            )
-            yield spans
+            gone = np.flatnonzero(again & (least <= most))
+            spans = np.stack([owner[gone], mark[gone], place[gone] - most[gone], place[gone] - np.maximum(least[gone], 0) + LENGTH], 1)
             stay = np.flatnonzero(~again & (least <= most))
             part = (grams % np.uint64(parts)).astype(np.int64)
             stay = stay[np.argsort(part[stay], kind="stable")]
             cuts = np.append(np.flatnonzero(np.diff(part[stay], prepend=-1)), len(stay))
             rows = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 own = stay[a:b]
                 lcp = common_prefixes(keys[own])
                 tails = keys[own][np.arange(KEY) >= lcp[:, None]].tobytes()
-                rows.append((int(part[own[0]]), len(own), lcp.astype(np.uint8).tobytes(), tails, owner[own].tobytes(), mark[own].tobytes(), place[own].astype(np.int32).tobytes(), None, None, None, None))
+                own_spans = spans[k * len(spans) // (len(cuts) - 1) : (k + 1) * len(spans) // (len(cuts) - 1)]
+                rows.append((int(part[own[0]]), len(own), lcp.astype(np.uint8).tobytes(), packed(tails), owner[own].tobytes(), mark[own].tobytes(), place[own].astype(np.int32).tobytes(), packed(own_spans.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
         for b in batches:
@@ -288,16 +294,16 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
             yield from flush()
 
     names = [x.split()[0] for x in RUNS.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
     return docs.mapInArrow(run, RUNS)
 
 
 def _merge(b: pd.DataFrame) -> pd.DataFrame:
-    """Spans repeated among the runs of one merging task."""
+    """Spans repeated among the runs of one merging task, and those that came with them."""
     owner, mark, place = (np.concatenate([np.frombuffer(x, t) for x in b[c]]) for c, t in (("owner", np.int64), ("mark", np.int64), ("place", np.int32)))
     at = np.append(0, np.cumsum(b["n"])).astype(np.int64).tolist()
     order, lcp, keys = [], [], bytearray()
-    for w, key, shared in LoserTree([(np.frombuffer(x, np.uint8), t) for x, t in zip(b["lcp"], b["tails"], strict=True)]):
+    for w, key, shared in LoserTree([(np.frombuffer(x, np.uint8), t) for x, t in zip(b["lcp"], map(unpacked, b["tails"]), strict=True)]):
         order.append(at[w])
         at[w] += 1
         lcp.append(shared)
@@ -306,16 +312,14 @@ def _merge(b: pd.DataFrame) -> pd.DataFrame:
     rank = np.empty(len(order), np.int64)
     rank[np.lexsort((place, mark, owner))] = np.arange(len(order))
     found, low, high = repeats(np.frombuffer(bytes(keys), np.uint8).reshape(-1, KEY), np.array(lcp, np.int64), rank)
-    return pd.DataFrame({"owner": owner[found], "mark": mark[found], "start": (place - high)[found].astype(np.int32), "stop": (place - low + LENGTH)[found].astype(np.int32)})
+    spans = np.concatenate([np.stack([owner[found], mark[found], (place - high)[found], (place - low + LENGTH)[found]], 1), *(np.frombuffer(unpacked(x), np.int64).reshape(-1, 4) for x in b["gone"])])
+    return pd.DataFrame({"owner": spans[:, 0], "mark": spans[:, 1], "start": spans[:, 2].astype(np.int32), "stop": spans[:, 3].astype(np.int32)})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """owner, mark, start, stop: byte ranges of docs(owner, mark, bytes) whose 100-byte strings start earlier too. Ranges of a text may overlap."""
     bitmap, total = _repeated(docs)
-    runs = materialise(_runs(docs, bitmap, max(1, -(-total // MERGE))), "suffix-runs")
-    local = runs.filter("n IS NULL").select(F.col("span_owner").alias("owner"), F.col("span_mark").alias("mark"), "start", "stop")
-    merged = runs.filter("n IS NOT NULL").select("part", "n", "lcp", "tails", "owner", "mark", "place").groupBy("part").applyInPandas(_merge, SPANS)
-    return local.unionByName(merged)
+    return _runs(docs, bitmap, max(1, -(-total // MERGE))).groupBy("part").applyInPandas(_merge, SPANS)
 
 
 def _text_mark() -> Column:
@@ -333,6 +337,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("owner"), _text_mark().alias("mark"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     spans = repeated_spans(keyed.select("owner", "mark", "bytes")).groupBy("owner", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = materialise(spans, "suffix-spans")
+    may, whole = split_by(keyed, "mark", bit_filter(spans, "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -352,4 +358,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((len(t), sum(e - s for s, e in merged), len(merged), digest.hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return keyed.join(spans, ["owner", "mark"], "left").select("doc_id", "bytes", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = may.join(spans, ["owner", "mark"], "left").select("doc_id", "bytes", "spans")
+    return cut.unionByName(whole.select("doc_id", "bytes", F.lit(None).cast(cut.schema["spans"].dataType).alias("spans"))).select("doc_id", "bytes", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
