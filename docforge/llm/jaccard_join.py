@@ -8,7 +8,8 @@ their first n - ceil((1 - r) n) + 1 shingles, and into the regions of those the
 Within a region the pivots are documents. All within r of the pivot are linked to it, and so in one component
 without being compared. By the triangle inequality, two sets can be linked only if their distances
 to the pivot differ by r at most; sets with one of another component in that window
-are joined again, with new pivots, until none is left.
+are joined again, with new pivots, until none is left. Before sets are fetched, a small parity sketch
+bounds from below in how many elements two sets differ, and pairs too far apart by it are not compared.
 """
 
 from __future__ import annotations
@@ -86,27 +87,50 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A set's parity sketch: for each of 2**k buckets, more than it has elements, whether it has an odd number there.
+
+    Two sets differ in at least as many elements as their sketches do in bits.
+    """
+    width = 1 << max(6, len(s).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at least; the wider sketch is folded to the narrower."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a), len(b)
+    while n > m:
+        n //= 2
+        x = x >> 8 * n ^ x & (1 << 8 * n) - 1
+    while m > n:
+        m //= 2
+        y = y >> 8 * m ^ y & (1 << 8 * m) - 1
+    return (x ^ y).bit_count()
+
+
 def _keys(docs: DataFrame, order: np.ndarray, percent: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the shingles whose regions the set goes to."""
+    """doc_id, n_shingles, digest and parity sketch of the set, and the shingles whose regions it goes to."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, part in pieces(b.column("text")):
-                sizes, digests, firsts = [], [], []
+                sizes, digests, sketches, firsts = [], [], [], []
                 for s in shingle_sets(part, width):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sketches.append(parity(s) if len(s) else None)
                     rank = shared.value[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                     need = len(s) + (-percent * len(s) // 100) + 1 if len(s) else 0
                     firsts.append(np.sort(s[np.lexsort((s, rank))[:need]]).view(np.int64))
                 offsets = np.append(0, np.cumsum([len(f) for f in firsts])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))],
-                    ["doc_id", "n_shingles", "digest", "firsts"],
+                    [b.column("doc_id").slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))],
+                    ["doc_id", "n_shingles", "digest", "parity", "firsts"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, firsts array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, parity binary, firsts array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -137,6 +161,36 @@ def _distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("node", "pivot", "shingles", "pivot_shingles").mapInArrow(run, "node long, pivot long, both long, either long")
 
 
+def _bounds(pairs: DataFrame, percent: int) -> DataFrame:
+    """node, pivot, a lower bound of their distance, and whether they may be similar by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            apart = np.fromiter(map(unlike, b.column("parity").to_pylist(), b.column("pivot_parity").to_pylist()), np.int64, len(b))
+            total = b.column("n_shingles").to_numpy() + b.column("pivot_n").to_numpy()
+            apart = np.maximum(apart, np.abs(b.column("n_shingles").to_numpy() - b.column("pivot_n").to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("pivot"), pa.array(2 * apart / (total + apart)), pa.array((100 + percent) * apart <= (100 - percent) * total)], ["node", "pivot", "away", "may"])
+
+    return pairs.select("node", "pivot", "n_shingles", "pivot_n", "parity", "pivot_parity").mapInArrow(run, "node long, pivot long, away double, may boolean")
+
+
+def with_partners(size: np.ndarray, sketches: list[bytes], outside: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a region may be similar to one that isn't connected to them, by their sketches."""
+    least = min(map(len, sketches))
+    bits = np.empty((len(size), 8 * least), np.float32)
+    for k, x in enumerate(sketches):
+        own = np.frombuffer(x, np.uint8)
+        while len(own) > least:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        bits[k] = np.unpackbits(own)
+    ones = bits.sum(1)
+    apart = ones[:, None] + ones - 2 * (bits @ bits.T)
+    may = (100 + percent) * np.maximum(apart, np.abs(size[:, None] - size)) <= (100 - percent) * (size[:, None] + size)
+    may &= outside[:, None] | outside
+    np.fill_diagonal(may, False)
+    return may.any(1)
+
+
 def join_region(nodes: np.ndarray, sets: list[np.ndarray], outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what is similar in a region, where sets not `outside` are connected among themselves already.
 
@@ -168,6 +222,20 @@ def join_region(nodes: np.ndarray, sets: list[np.ndarray], outside: np.ndarray,
     return links
 
 
+def _sets_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node and shingles for the given nodes: their texts are read and cut into shingles again."""
+    involved = materialise(nodes.distinct().join(reps.select("node", "rep", "digest"), "node"), "jaccard-involved")
+    texts = through(docs, "doc_id", bit_filter(involved.select(F.col("rep").alias("doc_id")), "doc_id"))
+    return materialise(_sets(texts, width).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members of regions, each region as one block (i = j = 0) or, if it is large, as pairs of blocks of bounded size that meet all others."""
+    count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("region").agg(count.alias("blocks")), "region").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+
+
 def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs(doc_id, text, ...).
 
@@ -179,7 +247,7 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(_keys(docs, _order(docs, width), percent, width), "jaccard-keys")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "firsts").agg(F.min("doc_id").alias("rep"))
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "parity", "firsts").agg(F.min("doc_id").alias("rep"))
     reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     placed = reps.select("node", "n_shingles", F.explode("firsts").alias("shingle"))
     shared = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
@@ -193,22 +261,29 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     regions = materialise(regions.groupBy("n", "pivot", "last", "sum").agg(F.min("region").alias("region")).select("region", "n", "pivot"), "jaccard-regions")
     members = materialise(banded.join(regions, "region"), "jaccard-members")
 
-    involved = members.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
-    sets = through(docs.withColumnRenamed("doc_id", "rep"), "rep", bit_filter(involved, "rep")).withColumnRenamed("rep", "doc_id")
-    sets = materialise(_sets(sets, width).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
-
+    sketched = reps.select("node", "n_shingles", "parity")
     pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
-    pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    compared = materialise(_distances(pairs).distinct().withColumn("near", F.expr(f"100 * both >= {percent} * either")).withColumn("away", F.expr("1 - both / either")), "jaccard-compared")
+    pairs = pairs.join(sketched, "node").join(sketched.toDF("pivot", "pivot_n", "pivot_parity"), "pivot")
+    bounds = materialise(_bounds(pairs, percent), "jaccard-bounds")
+    maybe = bounds.filter("may").select("node", "pivot")
+    sets = _sets_of(docs, reps, maybe.select("node").unionByName(maybe.select(F.col("pivot").alias("node"))), width)
+    exact = _distances(maybe.join(sets, "node").join(sets.toDF("pivot", "pivot_shingles"), "pivot")).distinct()
+    exact = exact.select("node", "pivot", F.expr(f"100 * both >= {percent} * either").alias("near"), F.expr("1 - both / either").alias("away"))
+    compared = materialise(exact.unionByName(bounds.filter("NOT may").select("node", "pivot", F.lit(False).alias("near"), "away")), "jaccard-compared")
 
     again = members.filter("n > 2 AND node <> pivot").join(compared.select("node", "pivot", "near", "away"), ["node", "pivot"])
     outside = again.filter("NOT near").groupBy("region").agg(F.min("away").alias("nearest"))
     left = materialise(again.join(outside, "region").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles", (~F.col("near")).alias("outside")), "jaccard-left")
     same = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", "outside")).alias("sum")).filter("n > 1")
     left = left.join(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region"), "region")
-    blocks = left.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = left.join(blocks, "region").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "outside").join(sets, "node")
+
+    def pick(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.drop_duplicates("node")
+        return b[with_partners(b["n_shingles"].to_numpy(), list(b["parity"]), b["outside"].to_numpy(bool), percent)][["region", "node", "n_shingles", "outside"]]
+
+    picked = _blocks(left.join(sketched.drop("n_shingles"), "node")).groupBy("region", "i", "j").applyInPandas(pick, "region long, node long, n_shingles long, outside boolean")
+    picked = materialise(picked.distinct(), "jaccard-picked")
+    dealt = _blocks(picked).join(_sets_of(docs, reps, picked.select("node"), width), "node")
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node").sort_values("node")
