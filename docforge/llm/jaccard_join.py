@@ -209,7 +209,9 @@ def join_region(nodes: np.ndarray, sets: list[np.ndarray], outside: np.ndarray,
         both = np.add.reduceat((sets[p][at] == flat).astype(np.int64), np.cumsum(size) - size)
         either = size + len(sets[p]) - both
         near = 100 * both >= percent * either
-        links += [(int(nodes[p]), int(nodes[k])) for k in here[near] if k != p]
+        # One link for each component that joins the pivot's, not one for each set.
+        joined, first = np.unique(of[here[near]], return_index=True)
+        links += [(int(nodes[p]), int(nodes[here[near][k]])) for c, k in zip(joined, first, strict=True) if c != of[p]]
         of[np.isin(of, of[here[near]])] = of[p]
         away = 1 - both / either
         order = np.argsort(away, kind="stable")
