@@ -174,7 +174,7 @@ def _bounds(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("node", "pivot", "n_shingles", "pivot_n", "parity", "pivot_parity").mapInArrow(run, "node long, pivot long, away double, may boolean")
 
 
-def with_partners(size: np.ndarray, sketches: list[bytes], outside: np.ndarray, percent: int) -> np.ndarray:
+def with_partners(size: np.ndarray, sketches: list[bytes], label: np.ndarray, percent: int) -> np.ndarray:
     """Which sets of a region may be similar to one that isn't connected to them, by their sketches."""
     least = min(map(len, sketches))
     bits = np.empty((len(size), 8 * least), np.float32)
@@ -186,23 +186,22 @@ def with_partners(size: np.ndarray, sketches: list[bytes], outside: np.ndarray,
     ones = bits.sum(1)
     apart = ones[:, None] + ones - 2 * (bits @ bits.T)
     may = (100 + percent) * np.maximum(apart, np.abs(size[:, None] - size)) <= (100 - percent) * (size[:, None] + size)
-    may &= outside[:, None] | outside
-    np.fill_diagonal(may, False)
+    may &= label[:, None] != label
     return may.any(1)
 
 
-def join_region(nodes: np.ndarray, sets: list[np.ndarray], outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar in a region, where sets not `outside` are connected among themselves already.
+def join_region(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a region, where sets of one label are connected already.
 
     A pivot is compared with all sets left and then leaves. So does each set in whose
     window of distances to the pivot, as wide as the radius, all sets are connected to it.
     """
     links: list[tuple[int, int]] = []
     radius = 1 - percent / 100 + 1e-9
-    of = np.where(outside, np.arange(len(nodes)), -1)
+    of = np.unique(label, return_inverse=True)[1]
     here = np.arange(len(nodes))
     while len(here) > 1:
-        p = here[np.argmax(of[here] >= 0)]
+        p = here[0]
         size = np.array([len(sets[k]) for k in here])
         flat = np.concatenate([sets[k] for k in here])
         at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
@@ -231,6 +230,12 @@ def _sets_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) ->
     return materialise(_sets(texts, width).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """Of regions with the same members one, and none whose members have a single label."""
+    same = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+    return members.join(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region"), "region")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """members of regions, each region as one block (i = j = 0) or, if it is large, as pairs of blocks of bounded size that meet all others."""
     count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
@@ -256,12 +261,12 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     shared = materialise(shared, "jaccard-shared")
     # Similar sets differ in size by a factor of 100 / percent at most: each goes into the region of its band of sizes and into the next one's.
     band = F.floor(F.log("n_shingles") / (math.log(100 / percent) + 1e-9))
-    banded = through(placed, "shingle", bit_filter(shared, "shingle")).join(shared, "shingle").select("node", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"), "shingle")
+    banded = through(placed, "shingle", bit_filter(shared, "shingle", 25), 25).join(shared, "shingle").select("node", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"), "shingle")
     banded = materialise(banded.select("node", "n_shingles", F.xxhash64("shingle", "band").alias("region")), "jaccard-banded")
     regions = banded.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter("n > 1")
     # Near copies share many shingles, and so many regions have the same sets: one of them is joined.
     regions = materialise(regions.groupBy("n", "pivot", "last", "sum").agg(F.min("region").alias("region")).select("region", "n", "pivot"), "jaccard-regions")
-    members = materialise(banded.join(regions, "region"), "jaccard-members")
+    members = materialise(through(banded, "region", bit_filter(regions, "region")).join(regions, "region"), "jaccard-members")
 
     sketched = reps.select("node", "n_shingles", "parity")
     pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
@@ -275,26 +280,26 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
 
     again = members.filter("n > 2 AND node <> pivot").join(compared.select("node", "pivot", "near", "away"), ["node", "pivot"])
     outside = again.filter("NOT near").groupBy("region").agg(F.min("away").alias("nearest"))
-    left = materialise(again.join(outside, "region").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles", (~F.col("near")).alias("outside")), "jaccard-left")
-    same = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", "outside")).alias("sum")).filter("n > 1")
-    left = left.join(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region"), "region")
+    # What the pivots have connected needs no other link: regions with a single component are done.
+    stars = materialise(components(compared.filter("near").select(F.col("node").alias("u"), F.col("pivot").alias("v"))), "jaccard-stars")
+    left = again.join(outside, "region").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles")
+    left = materialise(_once(left.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))), "jaccard-left")
 
     def pick(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node")
-        return b[with_partners(b["n_shingles"].to_numpy(), list(b["parity"]), b["outside"].to_numpy(bool), percent)][["region", "node", "n_shingles", "outside"]]
+        return b[with_partners(b["n_shingles"].to_numpy(), list(b["parity"]), b["label"].to_numpy(), percent)][["region", "node", "n_shingles", "label"]]
 
-    picked = _blocks(left.join(sketched.drop("n_shingles"), "node")).groupBy("region", "i", "j").applyInPandas(pick, "region long, node long, n_shingles long, outside boolean")
-    picked = materialise(picked.distinct(), "jaccard-picked")
+    picked = _blocks(left.join(sketched.drop("n_shingles"), "node")).groupBy("region", "i", "j").applyInPandas(pick, "region long, node long, n_shingles long, label long")
+    picked = materialise(_once(materialise(picked.distinct(), "jaccard-picked")), "jaccard-picked-once")
     dealt = _blocks(picked).join(_sets_of(docs, reps, picked.select("node"), width), "node")
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node").sort_values("node")
-        found = join_region(b["node"].to_numpy(), [np.frombuffer(s, np.uint64) for s in b["shingles"]], b["outside"].to_numpy(bool), percent)
+        found = join_region(b["node"].to_numpy(), [np.frombuffer(s, np.uint64) for s in b["shingles"]], b["label"].to_numpy(), percent)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     inner = dealt.groupBy("region", "i", "j").applyInPandas(join, "u long, v long")
-    links = compared.filter("near").select(F.col("node").alias("u"), F.col("pivot").alias("v")).unionByName(inner)
-    labels = components(links)
+    labels = components(stars.toDF("u", "v").unionByName(inner))
     known = reps.select("node", "rep", "digest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("rep").alias("component"))
     named = known.join(least, "label").select("digest", "component")
