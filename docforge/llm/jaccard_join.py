@@ -31,7 +31,7 @@ from .words import hash64, mixed, pieces, split
 #: The order has so many buckets of shingles, and levels by how often those repeat that occur twice within so many shingles of a task.
 ORDER_BITS = 24
 LEVELS = (2, 6, 24, 100)
-LOCAL_SHINGLES = 4_000_000
+LOCAL_SHINGLES = 2_000_000
 #: Regions are joined in one task up to so many sets and shingles, and block by block beyond.
 BLOCK_SETS = 500
 BLOCK_SHINGLES = 1_000_000
@@ -63,11 +63,15 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kinds, times = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
             held.clear()
-            often = times > 1
-            buckets = (kinds[often] >> np.uint64(64 - ORDER_BITS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(times[often].astype(np.int64))], ["bucket", "n"])
+            every.sort()
+            again = every[1:] == every[:-1]
+            # The first of each run of equal shingles that has a second one, and the runs' lengths.
+            firsts = np.flatnonzero(again & ~np.append(False, again[:-1]))
+            lasts = np.flatnonzero(again & ~np.append(again[1:], False)) + 1
+            buckets = (every[firsts] >> np.uint64(64 - ORDER_BITS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array((lasts - firsts + 1).astype(np.int64))], ["bucket", "n"])
 
         for b in batches:
             for _, part in pieces(b.column("text")):
