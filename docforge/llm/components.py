@@ -24,7 +24,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node of links(u, v) but those that are their component's smallest, which is the label."""
-    e = links.filter("u <> v").select("u", "v").distinct()
+    e = materialise(links.filter("u <> v").select("u", "v").distinct(), "links")
     before = None
     for _ in range(MOST_ROUNDS):
         e = materialise(_small_star(_large_star(e)), "components")

@@ -181,14 +181,17 @@ def _bounds(pairs: DataFrame, percent: int) -> DataFrame:
 def with_partners(size: np.ndarray, sketches: list[bytes], label: np.ndarray, percent: int) -> np.ndarray:
     """Which sets of a region may be similar to one that isn't connected to them, by their sketches."""
     least = min(map(len, sketches))
-    bits = np.empty((len(size), 8 * least), np.float32)
+    folded = np.empty((len(size), least), np.uint8)
     for k, x in enumerate(sketches):
         own = np.frombuffer(x, np.uint8)
         while len(own) > least:
             own = own[: len(own) // 2] ^ own[len(own) // 2 :]
-        bits[k] = np.unpackbits(own)
-    ones = bits.sum(1)
-    apart = ones[:, None] + ones - 2 * (bits @ bits.T)
+        folded[k] = own
+    apart = np.zeros((len(size), len(size)), np.float32)
+    for at in range(0, least, 128):  # some bits at a time: they take 32 times the room of the sketches
+        bits = np.unpackbits(folded[:, at : at + 128], axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        apart += ones[:, None] + ones - 2 * (bits @ bits.T)
     may = (100 + percent) * np.maximum(apart, np.abs(size[:, None] - size)) <= (100 - percent) * (size[:, None] + size)
     may &= label[:, None] != label
     return may.any(1)
