@@ -9,9 +9,9 @@ without the two being merged otherwise. Both give the ids that the public librar
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from .words import pieces
 #: A word takes the spaces before it; the first space of a text is the marker that every text gets.
 WORD = re.compile(" *[^ ]+| +")
 #: Words kept from one batch to the next.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 class Codec:
@@ -43,9 +43,14 @@ class Codec:
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
         self.unigram = kind == "unigram"
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.spelled: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}  # whether two pieces may follow each other
+        self.spelled: dict[str, tuple[int, ...]] = {}
+        #: Pieces that merging their own characters gives, and the longest one by its last three characters.
+        self.whole = {p for p in self.ids if self.unigram or self.merged(p) == [p]}
+        self.reach: dict[str, int] = {}
+        for p in self.whole:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging as it is defined: again and again the adjacent pair of best score, the leftmost of equals. Only for short texts."""
@@ -64,74 +69,78 @@ class Codec:
         """Whether two neighbouring pieces stay as they are."""
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
-    def stands(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        if (known := self.own.get(piece)) is None:
-            known = self.own[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return known
-
-    def _last_by_merges(self, word: str, end: int, last: list[str]) -> str:
-        ids = self.ids
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in ids or end - start == 1) and self.stands(piece) and (start == 0 or self.follows(last[start], piece)):
-                return piece
-        raise AssertionError("every prefix has an encoding")
-
     def _last_by_score(self, word: str, end: int, best: list[float]) -> tuple[str, float]:
         low = min(self.score.values()) - 10
         found = [(best[s] + self.score.get(word[s:end], low if end - s == 1 else -np.inf), s) for s in range(max(0, end - self.longest), end)]
         score, start = max(found, key=lambda x: x[0])
         return word[start:end], score
 
-    def words(self, distinct: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+    def words(self, distinct: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Ids of each word, in sorted order. last[i] and best[i], the forward state of the word's first i characters, outlive the word as far as the next one shares them."""
         last, best, before = [""], [0.0], ""
+        whole, reach, pairs, ids = self.whole, self.reach, self.pairs, self.ids
         for word in sorted(distinct):
-            shared = len(os.path.commonprefix((before, word)))
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            before = word
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if self.unigram:
                     piece, score = self._last_by_score(word, end, best)
                     best.append(score)
-                else:
-                    piece = self._last_by_merges(word, end, last)
-                    best.append(0.0)
+                    last.append(piece)
+                    continue
+                # Of the pieces that end here exactly one follows what is before it.
+                start = max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0
+                while True:
+                    piece = word[start:end]
+                    if piece in whole or end - start == 1:
+                        if not start:
+                            break
+                        known = pairs.get((last[start], piece))
+                        if self.follows(last[start], piece) if known is None else known:
+                            break
+                    start += 1
                 last.append(piece)
-            before, out, end = word, [], len(word)
+            out: list[int] = []
+            end = len(word)
             while end:
-                out.append(last[end])
-                end -= len(last[end])
-            yield word, [i for piece in reversed(out) for i in self.spell(piece)]
-
-    def spell(self, piece: str) -> list[int]:
-        """The piece's id, or its bytes' for a character without one."""
-        if (i := self.ids.get(piece)) is not None:
-            return [i]
+                piece = last[end]
+                end -= len(piece)
+                i = ids.get(piece)
+                if i is None:
+                    out += self.spell(piece)[::-1]
+                else:
+                    out.append(i)
+            out.reverse()
+            yield word, tuple(out)
+
+    def spell(self, piece: str) -> tuple[int, ...]:
+        """The ids of the bytes of a character without a piece."""
         if (known := self.spelled.get(piece)) is None:
-            known = self.spelled[piece] = [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")]
+            known = self.spelled[piece] = tuple(self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass"))
         return known
 
-    def encode(self, texts: list[str | None], cache: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], cache: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more at the end)."""
         cache = {} if cache is None else cache
         split = [WORD.findall(" " + t) if t else [] for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array([w for s in split for w in s], pa.large_string()).dictionary_encode()
+        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        for w, ids in self.words([w for w in distinct if w not in cache]):
-            cache[w] = np.array(ids, np.int32)
-        tables = [cache[w] for w in distinct]
         if len(cache) > CACHE_WORDS:
             cache.clear()
+        cache.update(self.words([w for w in distinct if w not in cache]))
+        tables = [cache[w] for w in distinct]
         codes = np.asarray(coded.indices).astype(np.int64)
         size = np.fromiter(map(len, tables), np.int64, len(tables))
-        flat = np.concatenate([*tables, np.zeros(0, np.int32)])
+        flat = np.fromiter(chain.from_iterable(tables), np.int32, int(size.sum()))
         starts, each = (np.cumsum(size) - size)[codes], size[codes]
         ends = np.cumsum(each)
         out = flat[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
@@ -143,10 +152,10 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-_open: dict[str, tuple[Codec, dict[str, np.ndarray]]] = {}
+_open: dict[str, tuple[Codec, dict[str, tuple[int, ...]]]] = {}
 
 
-def _codec(path: str) -> tuple[Codec, dict[str, np.ndarray]]:
+def _codec(path: str) -> tuple[Codec, dict[str, tuple[int, ...]]]:
     """One codec for each worker and model."""
     if path not in _open:
         _open[path] = (Codec(path), {})
