@@ -68,18 +68,18 @@ def bit_filter(keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
 
 
 _BIT_IS_SET = """
-    pmod(shiftright(cast(conv(hex(substring(bitmap, cast(bitmap_bit_position(_bit) div 8 as int) + 1, 1)), 16, 10) as int),
-                    cast(bitmap_bit_position(_bit) % 8 as int)), 2) = 1
+    pmod(shiftright(cast(conv(hex(substring(__docforge_bitmap, cast(bitmap_bit_position(__docforge_bit) div 8 as int) + 1, 1)), 16, 10) as int),
+                    cast(bitmap_bit_position(__docforge_bit) % 8 as int)), 2) = 1
 """
 
 
 def split_by(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose value may be in a bit_filter(), and those whose value is not."""
     bit = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    spot = df.withColumn("_bit", bit).withColumn("_slab", F.bitmap_bucket_number("_bit"))
-    told = spot.join(F.broadcast(bitmaps.withColumnRenamed("slab", "_slab").withColumnRenamed("bitmap", "_bitmap")), "_slab", "left")
-    may = told.select(*df.columns, F.coalesce(F.expr(_BIT_IS_SET.replace("bitmap,", "_bitmap,")), F.lit(False)).alias("_may"))
-    return may.filter("_may").drop("_may"), may.filter("NOT _may").drop("_may")
+    spot = df.withColumn("__docforge_bit", bit).withColumn("__docforge_slab", F.bitmap_bucket_number("__docforge_bit"))
+    told = spot.join(F.broadcast(bitmaps.withColumnRenamed("slab", "__docforge_slab").withColumnRenamed("bitmap", "__docforge_bitmap")), "__docforge_slab", "left")
+    may = told.select(*df.columns, F.coalesce(F.expr(_BIT_IS_SET), F.lit(False)).alias("__docforge_may"))
+    return may.filter("__docforge_may").drop("__docforge_may"), may.filter("NOT __docforge_may").drop("__docforge_may")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -91,12 +91,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def through(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> DataFrame:
     """The rows of df whose value may be in a bit_filter()."""
-    spot = df.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(1 << bits)))
-    return (
-        spot.join(F.broadcast(bitmaps), F.bitmap_bucket_number("_bit") == F.col("slab"))
-        .filter(F.expr(_BIT_IS_SET))
-        .drop("_bit", "slab", "bitmap")
-    )
+    return split_by(df, column, bitmaps, bits)[0]
 
 
 def tokenizer_path(name: str) -> str:

@@ -86,13 +86,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat both id and text one stays."""
-    gone = exact_dedup(docs).filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias("_digest"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_other"))
-    gone = materialise(gone.groupBy("doc_id", "_digest").agg(F.max("_other").alias("_other")), "dedup-gone")
-    keyed = docs.withColumn("_digest", _digest(F.col("text")))
-    may, clear = split_by(keyed, "_digest", bit_filter(gone, "_digest"))
-    found = may.join(gone.withColumnRenamed("_digest", "_digest2").withColumnRenamed("doc_id", "_id2"), F.expr("doc_id <=> _id2 AND _digest = _digest2"), "left")
-    repeated = found.filter("NOT _other").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.length("text").desc())))
-    return clear.select(docs.columns).unionByName(found.filter("_other IS NULL").select(docs.columns)).unionByName(repeated.filter("_n = 1").select(docs.columns))
+    gone = exact_dedup(docs).filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias("__docforge_digest"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("__docforge_other"))
+    gone = materialise(gone.groupBy("doc_id", "__docforge_digest").agg(F.max("__docforge_other").alias("__docforge_other")), "dedup-gone")
+    keyed = docs.withColumn("__docforge_digest", _digest(F.col("text")))
+    may, clear = split_by(keyed, "__docforge_digest", bit_filter(gone, "__docforge_digest"))
+    found = may.join(gone.withColumnRenamed("__docforge_digest", "__docforge_digest2").withColumnRenamed("doc_id", "__docforge_id2"), F.expr("doc_id <=> __docforge_id2 AND __docforge_digest = __docforge_digest2"), "left")
+    repeated = found.filter("NOT __docforge_other").withColumn("__docforge_n", F.row_number().over(Window.partitionBy("doc_id", "__docforge_digest").orderBy(F.length("text").desc())))
+    return clear.select(docs.columns).unionByName(found.filter("__docforge_other IS NULL").select(docs.columns)).unionByName(repeated.filter("__docforge_n = 1").select(docs.columns))
 
 
 ORACLE_SQL = r"""
