@@ -1,19 +1,73 @@
-"""The engine's registered queries with their SQL."""
+"""The engine's registered queries with their SQL: each filter over the shared tables as a Spark plan."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "object_construct"
+from ..operators import relational as R
+from .engine import compile_filter
 
+FLAGSHIP = "group_by_agg"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def object_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """{k: .o_orderkey, total: .o_totalprice}"""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"object_construct": object_construct}
-ORACLE_SQL: dict[str, str] = {"object_construct": "SELECT o_orderkey AS k, o_totalprice AS total FROM orders"}
+
+def add(name: str, sql: str | None, plan: Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(lambda t: table(spark, sf_dir, t))
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def filtered(name: str, source: str, program: str, sql: str) -> None:
+    """A query that is a filter compiled to columns."""
+    add(name, sql, lambda t: compile_filter(t(source), program))
+
+
+filtered("nav_field", "customer", ".[] | {c_custkey, name: .c_name}", "SELECT c_custkey, c_name AS name FROM customer")
+filtered("filter_select", "orders", ".[] | select(.o_totalprice > 200000 and .o_orderstatus == \"F\") | {o_orderkey, o_totalprice}", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
+filtered("object_construct", "orders", "{k: .o_orderkey, total: .o_totalprice}", "SELECT o_orderkey AS k, o_totalprice AS total FROM orders")
+filtered("alt_default", "part", "{p_partkey, size: (.p_size // 0)}", "SELECT p_partkey, coalesce(p_size, 0) AS size FROM part")
+filtered("if_elif", "orders", "{o_orderkey, band: (if .o_totalprice < 50000 then \"low\" elif .o_totalprice < 200000 then \"mid\" else \"high\" end)}", "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS band FROM orders")
+filtered("string_ascii", "customer", "{c_custkey, low: (.c_name | ascii_downcase), n: (.c_name | length), bytes: (.c_name | utf8bytelength), pre: (.c_name | startswith(\"Customer\"))}", "SELECT c_custkey, lower(c_name) AS low, length(c_name)::INT AS n, strlen(c_name)::INT AS bytes, starts_with(c_name, 'Customer') AS pre FROM customer")
+filtered("string_interpolation", "nation", "{n_nationkey, label: \"n \\(.n_nationkey): \\(.n_name)\"}", "SELECT n_nationkey, 'n ' || n_nationkey || ': ' || n_name AS label FROM nation")
+filtered("regex_test", "pages", ".[] | select(.url | test(\"^https://m[.]\")) | {page_id, url}", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://m[.]')")
+filtered("math_floor", "orders", "{o_orderkey, f: (.o_totalprice | floor), c: (.o_totalprice | ceil)}", "SELECT o_orderkey, floor(o_totalprice)::BIGINT AS f, ceil(o_totalprice)::BIGINT AS c FROM orders")
+filtered("math_modulo", "orders", "{o_orderkey, m: (.o_custkey % 7)}", "SELECT o_orderkey, o_custkey % 7 AS m FROM orders")
+
+add("group_by_agg", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1, 2",
+    lambda t: t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"), F.min("l_shipdate").alias("first_ship")))
+add("unique_by_first", "SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1", lambda t: R.unique_by(t("customer"), ["c_nationkey"], ["c_custkey"]).select("c_nationkey", "c_custkey"))
+add("min_by_max_by", "SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1",
+    lambda t: t("orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest")))
+add("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10))
+add("topk_per_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3", lambda t: R.top_k(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice"))
+add("skip_nth", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 10", lambda t: t("nation").select("n_nationkey", "n_name").orderBy("n_nationkey").offset(10).limit(5))
+add("index_lookup_join", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", lambda t: t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
+add("generator_join", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 300000", lambda t: t("orders").filter("o_totalprice > 300000").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber"))
+add("in_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"))
+add("in_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
+add("combinations", "SELECT r_name, n_name FROM region, nation", lambda t: t("region").select("r_name").crossJoin(t("nation").select("n_name")))
+add("array_minus", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", lambda t: t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey")))
+add("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region", lambda t: t("nation").select(F.col("n_name").alias("name")).unionAll(t("region").select("r_name")))
+add("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", lambda t: t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct())
+add("flatten_explode", "SELECT l_orderkey, l_linenumber FROM lineitem", lambda t: R.nested(t("lineitem"), ["l_orderkey"], "lines", ["l_linenumber"]).select("l_orderkey", F.explode("lines").alias("x")).select("l_orderkey", "x.l_linenumber"))
+add("foreach_running", "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM orders", lambda t: t("orders").select("o_orderkey", F.sum("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)).alias("running")))
+add("reduce_concat", "SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS roles FROM conversations GROUP BY 1", lambda t: t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x")).select("conv_id", F.array_join("x.role", "|").alias("roles")))
+add("pivot", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1", lambda t: t("orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o")))
+add("recurse_tree", "SELECT r_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", lambda t: t("customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("m")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sum("m").alias("n")))
+add("format_csv", "SELECT n_nationkey, '\"' || n_nationkey || '\",\"' || replace(n_name, '\"', '\"\"') || '\"' AS line FROM nation", lambda t: R.with_csv(t("nation"), ["n_nationkey", "n_name"], "line").select("n_nationkey", "line"))
+add("format_base64", "SELECT n_nationkey, to_base64(encode(n_name)) AS b FROM nation", lambda t: t("nation").select("n_nationkey", F.base64(F.encode("n_name", "utf-8")).alias("b")))
+add("format_html", "SELECT benchmark.item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS h FROM benchmark", lambda t: t("benchmark").select("item_id", F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("h")))
+add("regex_gsub", "SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS u FROM pages", lambda t: t("pages").select("page_id", F.regexp_replace("url", "[0-9]+", "#").alias("u")))
+add("regex_capture", "SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)', 2) AS host FROM pages", lambda t: t("pages").select("page_id", F.regexp_extract("url", "^(https?)://([^/]+)", 1).alias("scheme"), F.regexp_extract("url", "^(https?)://([^/]+)", 2).alias("host")))
+add("split_words", "SELECT item_id, len(string_split(text, ' '))::INT AS words FROM benchmark", lambda t: t("benchmark").select("item_id", F.size(F.split("text", " ", -1)).alias("words")))
+add("any_all_has", "SELECT l_orderkey, bool_or(l_quantity > 45) AS some, bool_and(l_quantity > 5) AS every FROM lineitem GROUP BY 1", lambda t: t("lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") > 45).alias("some"), F.bool_and(F.col("l_quantity") > 5).alias("every")))
+add("rank_bits", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) FILTER (l_quantity > 25) OVER w AS rank1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", lambda t: R.rank1(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], F.col("l_quantity") > 25).select("l_orderkey", "l_linenumber", "l_partkey", "rank1"))
+add("line_column", "SELECT doc_id, len(text) - len(replace(text, chr(10), '')) + 1 AS lines FROM documents", lambda t: t("documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines")))

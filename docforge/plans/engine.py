@@ -19,7 +19,7 @@ class NotTyped(Exception):
     """The filter has no translation to columns."""
 
 
-COMPARE = {"==": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+COMPARE = {"==": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: (a < b) | a.isNull() & b.isNotNull(), "<=": lambda a, b: (a <= b) | a.isNull(), ">": lambda a, b: (a > b) | a.isNotNull() & b.isNull(), ">=": lambda a, b: (a >= b) | b.isNull()}  # null is below all
 UNARY = {
     "length": lambda c, t: F.length(c) if isinstance(t, T.StringType) else F.size(c) if isinstance(t, (T.ArrayType, T.MapType)) else F.abs(c),
     "not": lambda c, t: ~F.coalesce(c if isinstance(t, T.BooleanType) else c.isNotNull(), F.lit(False)), "floor": lambda c, t: F.floor(c), "ceil": lambda c, t: F.ceil(c), "sqrt": lambda c, t: F.sqrt(c), "fabs": lambda c, t: F.abs(c.cast("double")),
@@ -77,17 +77,18 @@ def _columns(e: tuple, here: Column, schema: T.DataType, df: DataFrame) -> tuple
             return typed(F.struct(*(_columns(v, here, schema, df)[0].alias(k[1]) for k, v in items if k[0] == "literal")))
         case ("string", parts, None):
             return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(_columns(p, here, schema, df)[0].cast("string"), F.lit("null")) for p in parts)), T.StringType()
-        case ("call", name, []) if name in UNARY:
+        case ("call", name, []) if name in UNARY and here is not ROOT:
             c, t = (here, schema)
             return typed(UNARY[name](c, t))
-        case ("call", name, [arg]) if name in BINARY:
+        case ("call", name, [arg]) if name in BINARY and here is not ROOT:
             return typed(BINARY[name](here, _columns(arg, here, schema, df)[0]))
         case ("call", "map", [("call", name, [])]) if name in UNARY and isinstance(schema, T.ArrayType):
             return typed(F.transform(here, lambda x: UNARY[name](x, schema.elementType)))
     raise NotTyped(e)
 
 
-ROOT = F.lit(None)
+#: The row itself, whose fields are columns.
+ROOT = None
 
 
 def _truth(e: tuple, here: Column, schema: T.DataType, df: DataFrame) -> Column:
@@ -112,7 +113,8 @@ def compile_filter(df: DataFrame, program: str) -> DataFrame:
             case ("iterate", ("identity",)) | ("identity",):
                 continue
             case ("call", "select", [c]):
-                df = df.filter(_truth(c, ROOT, df.schema, df))
+                found, kind = _columns(c, ROOT, df.schema, df)
+                df = df.filter(found if isinstance(kind, T.BooleanType) else found.isNotNull())
             case ("object", items):
                 df = df.select(*(_columns(v, ROOT, df.schema, df)[0].alias(k[1]) for k, v in items))
             case ("iterate", inner):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -47,10 +48,41 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def records(text: str, sep: str = ",", quote: str = '"') -> Iterator[list[str]]:
+    """Records of delimited text: quotes toggle, doubled quotes are one, only a line feed ends a record, and a carriage return is a character."""
+    row, field, inside, at = [], [], False, 0
+    while at < len(text):
+        c = text[at]
+        if c == quote:
+            if inside and text[at + 1 : at + 2] == quote:
+                field.append(quote)
+                at += 1
+            else:
+                inside = not inside
+        elif not inside and c in (sep, "\n"):
+            row.append("".join(field))
+            field = []
+            if c == "\n":
+                yield row
+                row = []
+        else:
+            field.append(c)
+        at += 1
+    if row or field:
+        yield [*row, "".join(field)]
+
+
 def delimited(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> DataFrame:
-    """row: each record's fields as strings; no header, no types, empty fields are empty strings."""
-    df = spark.read.option("emptyValue", "").option("nullValue", "\x00").csv(path, sep=sep, quote=quote, escape=quote, header=False, multiLine=True)
-    return df.select(F.filter(F.array(*(F.col(c) for c in df.columns)), lambda x: x.isNotNull()).alias("row"))
+    """file, row_idx, row: each record's fields as strings, without header or types. A file is one task's; spark.read.csv splits large typed ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, text in zip(b["file"], b["value"], strict=True):
+                rows = list(records(text, sep, quote))
+                yield pd.DataFrame({"file": file, "row_idx": range(len(rows)), "row": rows})
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return whole.mapInPandas(run, "file string, row_idx long, row array<string>")
 
 
 def yaml_values(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +101,7 @@ def yaml_values(spark: SparkSession, path: str) -> DataFrame:
 
 def validate_json(df: DataFrame, column: str = "value") -> DataFrame:
     """df with valid, and line and column (from 1) of the first error."""
-    schema = df.schema.add("valid", "boolean").add("line", "long").add("column", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("valid", T.BooleanType()), T.StructField("line", T.LongType()), T.StructField("column", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def check(t: str | None) -> tuple:
