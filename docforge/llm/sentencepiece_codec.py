@@ -24,6 +24,8 @@ from .words import pieces
 WORD = re.compile(" *[^ ]+| +")
 #: Words kept from one batch to the next.
 CACHE_WORDS = 300_000
+#: Bytes of text whose words are sorted together: the more, the more prefixes are shared.
+SORTED_BYTES = 8 << 20
 
 
 class Codec:
@@ -176,7 +178,7 @@ def tokenise(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, cache = _codec(model)
         for b in batches:
-            for start, part in pieces(b.column("text")):
+            for start, part in pieces(b.column("text"), SORTED_BYTES):
                 texts = part.to_pylist()
                 ids, begins = codec.encode(texts, cache)
                 listed = ids.tolist()
