@@ -9,25 +9,46 @@ without the two being merged otherwise. Both give the ids that the public librar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
 from .words import pieces
 
-#: A word takes the spaces before it; the first space of a text is the marker that every text gets.
-WORD = re.compile(" *[^ ]+| +")
-#: Words kept from one batch to the next.
-CACHE_WORDS = 300_000
+#: Words, and pairs of pieces, kept from one batch to the next.
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 250_000
 #: Bytes of text whose words are sorted together: the more, the more prefixes are shared.
 SORTED_BYTES = 8 << 20
 
 
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has. A word takes the spaces before it; the first is the marker that every text gets.
+
+    The words are offsets into one buffer, so no object is made for each of them.
+    """
+    there = np.asarray(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
+    marked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.filter(pa.array(there)).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+    count = np.zeros(len(texts), np.int64)
+    if not len(marked):
+        return pa.array([], pa.large_binary()), count
+    _, offsets, data = marked.buffers()
+    begins = np.frombuffer(offsets, np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    space = np.frombuffer(data, np.uint8)[: begins[-1]] == 32
+    opens = space.copy()
+    opens[1:] &= ~space[:-1]
+    opens[: begins[0]] = False
+    opens[begins[:-1]] = True
+    starts = np.flatnonzero(opens)
+    count[there] = np.diff(np.append(np.searchsorted(starts, begins[:-1]), len(starts)))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, begins[-1])), data]), count
+
+
 class Codec:
     def __init__(self, model: str | bytes, kind: str = "bpe") -> None:
         from sentencepiece import SentencePieceProcessor
@@ -71,7 +92,7 @@ class Codec:
         """Whether two neighbouring pieces stay as they are."""
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
@@ -129,25 +150,25 @@ class Codec:
             known = self.spelled[piece] = tuple(self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass"))
         return known
 
-    def encode(self, texts: list[str | None], cache: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None], cache: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more at the end)."""
         cache = {} if cache is None else cache
-        split = [WORD.findall(" " + t) if t else [] for t in texts]
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        found, count = marked_words(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        coded = found.dictionary_encode()
+        codes = np.asarray(coded.indices)
+        distinct = [w.decode() for w in coded.dictionary.to_pylist()]
         if len(cache) > CACHE_WORDS:
             cache.clear()
         cache.update(self.words([w for w in distinct if w not in cache]))
         tables = [cache[w] for w in distinct]
-        codes = np.asarray(coded.indices).astype(np.int64)
         size = np.fromiter(map(len, tables), np.int64, len(tables))
         flat = np.fromiter(chain.from_iterable(tables), np.int32, int(size.sum()))
-        starts, each = (np.cumsum(size) - size)[codes], size[codes]
+        each = size[codes]
         ends = np.cumsum(each)
-        out = flat[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        begins = np.append(0, np.cumsum(count))
-        return out, np.append(0, ends)[begins]
+        # An Arrow list has fewer than 2**31 elements, so places fit 32 bits.
+        at = np.repeat(((np.cumsum(size) - size)[codes] - (ends - each)).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], np.append(0, ends)[np.append(0, np.cumsum(count))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text: pieces joined, bytes joined to characters, and the first marker taken away."""
@@ -179,10 +200,8 @@ def tokenise(docs: DataFrame, model: str | None = None) -> DataFrame:
         codec, cache = _codec(model)
         for b in batches:
             for start, part in pieces(b.column("text"), SORTED_BYTES):
-                texts = part.to_pylist()
-                ids, begins = codec.encode(texts, cache)
-                listed = ids.tolist()
-                same = [codec.decode(listed[begins[k] : begins[k + 1]]) == (t or "") for k, t in enumerate(texts)]
+                ids, begins = codec.encode(part, cache)
+                same = [codec.decode(ids[begins[k] : begins[k + 1]].tolist()) == (t.as_py() or "") for k, t in enumerate(part)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(start, len(part)), pa.array(np.diff(begins)), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids)), pa.array(same)],
                     ["doc_id", "n_tokens", "token_ids", "round_trip"],
