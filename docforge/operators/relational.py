@@ -41,5 +41,12 @@ def rank1(df: DataFrame, keys: Sequence[str], order: Sequence[str], bit: Column)
     return df.withColumn("rank1", F.coalesce(F.sum(bit.cast("long")).over(before), F.lit(0)))
 
 
+def select1(df: DataFrame, keys: Sequence[str], order: Sequence[str], bit: Column) -> DataFrame:
+    """The rows of set bits with their position and how many are set before it: the inverse of rank1."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    spot = df.select(*keys, bit.alias("_bit"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.coalesce(F.sum(bit.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("k"))
+    return spot.filter("_bit").drop("_bit")
+
+
 def with_csv(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     return df.withColumn(name, csv_line(*columns))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..sources.writers import tsv_field
 from .engine import compile_filter
+from .nodes import leaf_events, node_table
 
 FLAGSHIP = "group_by_agg"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,63 @@ add("split_words", "SELECT item_id, len(string_split(text, ' '))::INT AS words F
 add("any_all_has", "SELECT l_orderkey, bool_or(l_quantity > 45) AS some, bool_and(l_quantity > 5) AS every FROM lineitem GROUP BY 1", lambda t: t("lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") > 45).alias("some"), F.bool_and(F.col("l_quantity") > 5).alias("every")))
 add("rank_bits", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) FILTER (l_quantity > 25) OVER w AS rank1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", lambda t: R.rank1(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], F.col("l_quantity") > 25).select("l_orderkey", "l_linenumber", "l_partkey", "rank1"))
 add("line_column", "SELECT doc_id, len(text) - len(replace(text, chr(10), '')) + 1 AS lines FROM documents", lambda t: t("documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines")))
+
+
+def seconds(c: str) -> Column:
+    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+# Grouping, joins, sets.
+add("group_collect", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1", lambda t: t("orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("keys")))
+add("unique_count", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1", lambda t: t("lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")))
+add("theta_join", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey", lambda t: t("nation").join(t("region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "r_regionkey"))
+add("asof_last", "SELECT event_id, last_ts FROM (SELECT event_id, value, max(ts) FILTER (value <= 50) OVER (PARTITION BY user_id ORDER BY ts) AS last_ts FROM events) WHERE value > 50",
+    lambda t: R.as_of(t("events").filter("value > 50").select("event_id", "user_id", "ts"), t("events").filter("value <= 50").select("user_id", "ts"), ["user_id"], "ts", ["ts"]).select("event_id", F.col("right_ts").alias("last_ts")))
+add("index_left_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", lambda t: t("customer").join(t("orders").filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey"))
+add("array_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", lambda t: t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey")))
+add("posexplode_entries", "SELECT item_id, (i - 1)::INT AS pos, w[i] AS word FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), unnest(range(1, len(w) + 1)) AS u(i)", lambda t: t("benchmark").select("item_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word")))
+add("reduce_sum", "SELECT user_id, count(value) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1", lambda t: t("events").groupBy("user_id").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
+add("foreach_previous", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations", lambda t: t("conversations").select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("before")))
+add("first_last", "SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1", lambda t: t("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")))
+add("with_entries", "SELECT o_custkey, string_agg(o_orderpriority || '=' || n, ';' ORDER BY o_orderpriority) AS entries FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
+    lambda t: t("orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderpriority", "n")))).alias("m"))
+    .select("o_custkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("entries")))
+
+# JSON values.
+add("getpath_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+add("paths_leaf", "SELECT event_id, '[\"' || k || '\"]' AS path, json_extract(props, '$.' || k)::VARCHAR AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)", lambda t: leaf_events(node_table(t("events"), "event_id", "props"), "event_id"))
+
+# Strings and regular expressions.
+add("string_ltrimstr", "SELECT c_custkey, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS s FROM customer", lambda t: t("customer").select("c_custkey", F.when(F.startswith("c_name", F.lit("Customer#")), F.expr("substr(c_name, 10)")).otherwise(F.col("c_name")).alias("s")))
+add("string_split_join", "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), '-') AS s FROM part", lambda t: t("part").select("p_partkey", F.array_join(F.reverse(F.split("p_name", " ", -1)), "-").alias("s")))
+add("string_index", "SELECT p_partkey, CASE WHEN contains(p_type, 'E') THEN instr(p_type, 'E')::INT - 1 END AS i FROM part", lambda t: t("part").select("p_partkey", F.when(F.contains("p_type", F.lit("E")), F.instr("p_type", "E") - 1).alias("i")))
+add("string_slice", "SELECT c_custkey, substr(c_name, 3, 4) AS mid, right(c_name, 3) AS tail FROM customer", lambda t: t("customer").select("c_custkey", F.substring("c_name", 3, 4).alias("mid"), F.right("c_name", F.lit(3)).alias("tail")))
+add("string_repeat", "SELECT n_nationkey, repeat(n_name, 2) AS twice, upper(n_name) AS up FROM nation", lambda t: t("nation").select("n_nationkey", F.repeat("n_name", 2).alias("twice"), F.upper("n_name").alias("up")))
+add("string_explode", "SELECT n_nationkey, pos::INT AS pos, unicode(n_name[pos + 1])::INT AS point FROM nation, unnest(range(0, length(n_name))) AS u(pos)", lambda t: t("nation").select("n_nationkey", F.posexplode(F.split("n_name", "")).alias("pos", "c")).select("n_nationkey", "pos", F.ascii("c").alias("point")))
+add("regex_scan", "SELECT page_id, len(regexp_extract_all(url, '[a-z]+'))::INT AS n, array_to_string(regexp_extract_all(url, '[a-z]+'), ',') AS words FROM pages", lambda t: t("pages").select("page_id", F.size(F.regexp_extract_all("url", F.lit("[a-z]+"), 0)).alias("n"), F.array_join(F.regexp_extract_all("url", F.lit("[a-z]+"), 0), ",").alias("words")))
+add("regex_sub", "SELECT page_id, regexp_replace(url, '[0-9]+', '#') AS u FROM pages", lambda t: t("pages").select("page_id", F.regexp_replace("url", "(?s)^(.*?)[0-9]+", "$1#").alias("u")))
+add("regex_splits", "SELECT page_id, array_to_string(regexp_split_to_array(url, '[/?]'), '|') AS s FROM pages", lambda t: t("pages").select("page_id", F.array_join(F.split("url", "[/?]", -1), "|").alias("s")))
+add("format_tsv", "SELECT n_nationkey, n_nationkey || chr(9) || n_name AS line FROM nation", lambda t: t("nation").select("n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), tsv_field("n_name")).alias("line")))
+add("format_sh", "SELECT p_partkey, '''' || replace(p_name, '''', '''\\''''') || '''' AS s FROM part", lambda t: t("part").select("p_partkey", F.concat(F.lit("'"), F.replace("p_name", F.lit("'"), F.lit("'\\''")), F.lit("'")).alias("s")))
+add("format_uri", "SELECT p_partkey, url_encode(p_type) AS u FROM part", lambda t: t("part").select("p_partkey", F.replace(F.replace(F.replace(F.url_encode("p_type"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")).alias("u")))
+add("dsv_roundtrip", "SELECT n_nationkey, n_name FROM nation", lambda t: R.with_csv(t("nation"), ["n_nationkey", "n_name"], "line").select(F.from_csv("line", "n_nationkey int, n_name string").alias("r")).select("r.*"))
+
+# Numbers and dates.
+add("math_round", "SELECT o_orderkey, round(o_totalprice)::BIGINT AS r, trunc(o_totalprice)::BIGINT AS t, abs(o_totalprice) AS a, sqrt(o_totalprice) AS s FROM orders", lambda t: t("orders").select("o_orderkey", F.floor(F.col("o_totalprice") + 0.5).alias("r"), F.col("o_totalprice").cast("long").alias("t"), F.abs("o_totalprice").alias("a"), F.sqrt("o_totalprice").alias("s")))
+add("math_log", "SELECT p_partkey, round(ln(p_retailprice), 6) AS l, round(log2(p_retailprice), 6) AS l2, round(log10(p_retailprice), 6) AS l10, round(pow(p_size, 1.5), 4) AS p FROM part", lambda t: t("part").select("p_partkey", F.round(F.log("p_retailprice"), 6).alias("l"), F.round(F.log2("p_retailprice"), 6).alias("l2"), F.round(F.log10("p_retailprice"), 6).alias("l10"), F.round(F.pow("p_size", F.lit(1.5)), 4).alias("p")))
+add("math_trig", "SELECT p_partkey, round(sin(p_size), 6) AS s, round(cos(p_size), 6) AS c, round(atan2(p_size, 10), 6) AS a FROM part", lambda t: t("part").select("p_partkey", F.round(F.sin("p_size"), 6).alias("s"), F.round(F.cos("p_size"), 6).alias("c"), F.round(F.atan2("p_size", F.lit(10.0)), 6).alias("a")))
+add("date_gmtime", "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, dayofyear(o_orderdate)::INT AS yday, dayofweek(o_orderdate)::INT AS wday FROM orders",
+    lambda t: t("orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"), F.dayofyear("o_orderdate").alias("yday"), (F.dayofweek("o_orderdate") - 1).alias("wday")))
+add("date_strftime", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS s FROM events", lambda t: t("events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("s")))
+add("date_mktime", "SELECT event_id, floor(epoch(ts))::BIGINT AS s FROM events", lambda t: t("events").select("event_id", seconds("ts").alias("s")))
+
+# Updates.
+add("update_assign", "SELECT * REPLACE (p_size + 1 AS p_size) FROM part", lambda t: t("part").withColumn("p_size", F.col("p_size") + 1))
+add("update_alternative", "SELECT * REPLACE (coalesce(c_mktsegment, 'NONE') AS c_mktsegment) FROM customer", lambda t: t("customer").withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("NONE"))))
+add("update_delete", "SELECT * EXCLUDE (s_acctbal) FROM supplier", lambda t: t("supplier").drop("s_acctbal"))
+
+# Bits and trees.
+add("select_bits", "SELECT l_orderkey, k, pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) - 1 AS k FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem) WHERE l_quantity > 25)",
+    lambda t: R.select1(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], F.col("l_quantity") > 25).select("l_orderkey", "k", "pos"))
+add("subtree_size", "SELECT n_nationkey, 1 + count(c_custkey) AS size FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", lambda t: t("nation").join(t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("m")), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", (1 + F.coalesce("m", F.lit(0))).alias("size")))

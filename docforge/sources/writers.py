@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import values as V
@@ -31,3 +31,11 @@ def csv_line(*columns: str) -> object:
     """A column: the @csv line of other columns; strings are always quoted, null is empty."""
     cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
     return F.concat_ws(",", *(cell(c) for c in columns))
+
+
+def tsv_field(c: str) -> Column:
+    """A column as an @tsv field: backslash, tab, line feed and carriage return escaped, null empty."""
+    out = F.col(c).cast("string")
+    for plain, escaped in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.coalesce(out, F.lit(""))
