@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, through, without
+from .common import bit_filter, materialise, small_batches, through, without
 from .components import components
 from .words import hash64, mixed, pieces, split
 
@@ -81,6 +81,7 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
         if held:
             yield from flush()
 
+    small_batches(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     levels = found.select(F.col("bucket") + 1, F.explode(F.expr(f"filter(array({', '.join(map(str, LEVELS))}), t -> n >= t)")).alias("level")).toDF("bit", "level")  # the bitmap functions count from 1
     slabs = levels.groupBy("level", F.bitmap_bucket_number("bit").alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .words import letters, pieces, sums
 
 BUCKETS = 1 << 16
@@ -159,6 +159,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     ["doc_id", "held_out", "lang_pred", "score", "n_languages"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_languages int")
 
 
@@ -181,4 +182,5 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 yield b.slice(start, len(part)).filter(pa.array(stay))
 
     model_languages = len(model.languages)
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

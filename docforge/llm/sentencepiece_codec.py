@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
-from .words import pieces
+from .words import gathered, pieces
 
 #: Words, and pairs of pieces, kept from one batch to the next.
 CACHE_WORDS = 200_000
@@ -198,7 +198,7 @@ def tokenise(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, cache = _codec(model)
-        for b in batches:
+        for b in gathered(batches, SORTED_BYTES):
             for start, part in pieces(b.column("text"), SORTED_BYTES):
                 ids, begins = codec.encode(part, cache)
                 same = [codec.decode(ids[begins[k] : begins[k + 1]].tolist()) == (t.as_py() or "") for k, t in enumerate(part)]

@@ -36,6 +36,18 @@ def pieces(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Successive batches as one, up to about `limit` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and sum(h.nbytes for h in held) + b.nbytes > limit:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def split(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Runs of bytes other than space and \\t to \\r: distinct words, the code of each word in turn, and where each text's words begin (one more at the end)."""
     if lower:
