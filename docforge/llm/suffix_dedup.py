@@ -322,6 +322,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return _runs(docs, bitmap, max(1, -(-total // MERGE))).groupBy("part").applyInPandas(_merge, SPANS)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """The distinct rows of docs(owner, mark, bytes); only rows that a bit filter of repeated keys can't clear are shuffled."""
+    again = materialise(docs.groupBy("owner", "mark").count().filter("count > 1").select("mark"), "suffix-again")
+    may, clear = split_by(docs, "mark", bit_filter(again, "mark"))
+    return clear.unionByName(may.distinct())
+
+
 def _text_mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -336,7 +343,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("owner"), _text_mark().alias("mark"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
-    spans = repeated_spans(keyed.select("owner", "mark", "bytes")).groupBy("owner", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(_once(keyed.select("owner", "mark", "bytes"))).groupBy("owner", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = materialise(spans, "suffix-spans")
     may, whole = split_by(keyed, "mark", bit_filter(spans, "mark"))
 

@@ -80,6 +80,22 @@ def test_suffix_dedup_is_exact(spark):
     assert got == want
 
 
+def test_suffix_dedup_takes_repeated_rows_as_one(spark):
+    r = random.Random(9)
+    a, b, c = ("".join(r.choices("abcdef ", k=400)) for _ in range(3))
+    rows = [(1, a), (2, a[50:300] + b), (2, b), (None, c), (None, c), (None, a), (3, "short"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found(d):
+        return sorted(((x.doc_id is None, x.doc_id or 0), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(d).collect())
+
+    once = found(df.distinct())
+    assert [(x[0][1], x[1], x[2]) for x in once if x[0][1] == 1 or x[0][0] and x[2] == 0] == [(1, 400, 0), (0, 400, 0)]
+    assert set(found(df)) == set(once) and len(found(df)) == len(rows)
+    twice = found(df.distinct().union(df.distinct()))
+    assert twice == sorted([*once, *once])
+
+
 def test_loser_tree_merges():
     r = np.random.default_rng(2)
     runs, every = [], []
