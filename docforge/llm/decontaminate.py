@@ -16,6 +16,9 @@ from .common import materialise, without
 #: Five tokens count in each mask, at these places.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 7), (0, 2, 3, 5, 6))
 SPAN = 8
+#: A mask of four for items of fewer than FULL tokens, where the others leave allowed substitutions without a seed: with it none is left.
+EXTRA = (0, 2, 5, 7)
+FULL = 16
 #: Up to so many seeds (20 bytes each) the benchmark's side is broadcast; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
@@ -60,6 +63,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     short_seeds = _seeds(items.filter(F.size("item") < SPAN).withColumn("h", F.col("item")), [*MASKS, *exact], ["item_id", "item"]).filter("place = 0")
     masks = [*MASKS, *exact]
     seeds = long_seeds.select("item_id", "item", "place", "key").unionByName(short_seeds.select("item_id", "item", "place", "key"))
+    middle = items.filter(F.size("item").between(SPAN, FULL - 1)).withColumn("h", F.col("item"))
+    if not middle.isEmpty():
+        masks.append(EXTRA)
+        extra = _seeds(middle, masks, ["item_id", "item"])
+        seeds = seeds.unionByName(extra.select("item_id", "item", "place", "key"))
     seeds = materialise(seeds.select("item_id", F.col("place").alias("item_place"), "key").distinct(), "benchmark-seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     places = _seeds(ids.select("doc_id", tokens(F.col("text")).alias("h")), masks, ["doc_id"])

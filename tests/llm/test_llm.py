@@ -1,6 +1,7 @@
 """The operators against brute force, on rows with nulls, empty, long, repeated and clashing ones."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -131,6 +132,23 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3, 4, 5, 7]
 
 
+def test_masks_reach_every_allowed_substitution():
+    for n in range(decontaminate.SPAN, 21):
+        masks = [*decontaminate.MASKS, *([decontaminate.EXTRA] if n < decontaminate.FULL else [])]
+        seeds = [{p + o for o in m} for m in masks for p in range(n - m[-1])]
+        for changed in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            assert any(s.isdisjoint(changed) for s in seeds), (n, changed)
+
+
+def test_short_items_with_substitutions(spark):
+    docs, items = [], []
+    for n, changed in ((8, {3}), (10, {1, 5}), (11, {4, 5}), (15, {3, 8, 9})):
+        items.append((n, " ".join(f"i{n}t{k}" for k in range(n))))
+        docs.append(f"some words {' '.join('x' if k in changed else f'i{n}t{k}' for k in range(n))} and more")
+    got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 8), (1, 10), (2, 11), (3, 15)]
+
+
 def test_sharding(spark):
     texts = corpus()
     rows = sharding.pack_shards(table(spark, texts), 5).collect()
