@@ -208,6 +208,14 @@ def test_html(spark):
     assert got == {1: "A & B\n\none two three\n\nfour", 2: "own 2 words", 3: "own 3 words", 4: "", 5: ""}
 
 
+def test_html_repeats_on_a_large_host(spark):
+    line = "<p>passage %d stands word for word on just these two pages here</p>"
+    rows = [(k, f"http://big/{k}", (line % (k // 2)) + f"<p>own {k}</p>") for k in range(1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {k: f"own {k}" for k in range(1200)}
+
+
 def test_empty_tables(spark):
     none = table(spark, []) if False else table(spark, ["x"]).filter("false")
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
