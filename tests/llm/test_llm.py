@@ -208,6 +208,13 @@ def test_html(spark):
     assert got == {1: "A & B\n\none two three\n\nfour", 2: "own 2 words", 3: "own 3 words", 4: "", 5: ""}
 
 
+def test_html_marked_by_the_parser(spark):
+    page = "<body>%s<p>this very long line of boilerplate is on each page here</p><p>own %d words</p>"
+    marks = ["<!-- <article> -->", "<div class=comment><article>c</article></div>", "<script>'<main>'</script>"]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", page % (m, k)) for k, m in enumerate(marks)], "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()} == {k: (f"own {k} words", 11) for k in range(3)}
+
+
 def test_html_repeats_on_a_large_host(spark):
     line = "<p>passage %d stands word for word on just these two pages here</p>"
     rows = [(k, f"http://big/{k}", (line % (k // 2)) + f"<p>own {k}</p>") for k in range(1200)]
