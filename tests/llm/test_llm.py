@@ -215,6 +215,20 @@ def test_html_marked_by_the_parser(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()} == {k: (f"own {k} words", 11) for k in range(3)}
 
 
+def test_html_keeps_copies_and_quotations(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    quote, story = words("q", 12), [words(f"s{k}_", 40) for k in range(4)]
+    texts = {(1, "copy"): story, (2, "copy"): story, (3, "near"): story, (4, "near"): [*story, "edited today"]}
+    texts |= {(k, "quote"): [f"{words(f'a{k}_', 20)} {quote} {words(f'b{k}_', 20)}"] for k in (5, 6)}
+    texts |= {(k, None): [words("z", 20), words(f"c{k}_", 20)] for k in (7, 8)}
+    menu = {(k, "menu"): ["home about", words(f"d{k}_", 20)] for k in range(10, 15)}
+    rows = [(k, h and f"http://{h}/{k}", "".join(f"<p>{t}</p>" for t in p)) for (k, h), p in (texts | menu).items()]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n\n".join(p) for (k, _), p in texts.items()} | {k: p[1] for (k, _), p in menu.items()}
+
+
 def test_html_repeats_on_a_large_host(spark):
     line = "<p>passage %d stands word for word on just these two pages here</p>"
     rows = [(k, f"http://big/{k}", (line % (k // 2)) + f"<p>own {k}</p>") for k in range(1200)]
