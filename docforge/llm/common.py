@@ -6,28 +6,40 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: The sizes of bit filters: a byte for each key, from 1 to 32 MB.
+LEAST_BITS, MOST_BITS = 23, 28
+#: Groups of fewer rows are never spread.
+SPREAD_ROWS = 256
+
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has already ended
             return
 
@@ -40,8 +52,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docforge/{name}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.docforge_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan reads any more; those left are deleted when the driver ends."""
+    for t in tables:
+        if _written.pop(t.docforge_path, None):
+            _delete(t.sparkSession, t.docforge_path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -60,18 +81,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
-    """Rows (slab, bitmap) of a one-hash filter of 2**bits bits over the values of a column.
+@dataclass
+class BitFilter:
+    """Rows (slab, bitmap) of a filter of 2**bits bits with one hash."""
+
+    slabs: DataFrame
+    bits: int
+
+
+def filter_bits(keys: DataFrame) -> int:
+    """8 to 16 bits for each row, as a power of two, within the limits."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
 
-    At most 2**bits / 8 bytes whatever the input (1 MB at 23), so it may be broadcast;
-    when it fills up it lets more through and never loses a key.
+
+def bit_filter(keys: DataFrame, column: str) -> BitFilter:
+    """A filter over the values of a column, for a table that has been written (it is read twice).
+
+    It has 2**MOST_BITS bits (32 MB) at most, so it may be broadcast;
+    when more keys fill it up it lets more through and never loses a key.
     """
+    bits = filter_bits(keys)
     bit = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    return (
+    slabs = (
         keys.select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("slab"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
     )
+    return BitFilter(slabs, bits)
 
 
 _BIT_IS_SET = """
@@ -80,15 +116,31 @@ _BIT_IS_SET = """
 """
 
 
-def split_by(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, column: str, known: BitFilter) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose value may be in a bit_filter(), and those whose value is not."""
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << known.bits))
     spot = df.withColumn("__docforge_bit", bit).withColumn("__docforge_slab", F.bitmap_bucket_number("__docforge_bit"))
-    told = spot.join(F.broadcast(bitmaps.withColumnRenamed("slab", "__docforge_slab").withColumnRenamed("bitmap", "__docforge_bitmap")), "__docforge_slab", "left")
+    told = spot.join(F.broadcast(known.slabs.withColumnsRenamed({"slab": "__docforge_slab", "bitmap": "__docforge_bitmap"})), "__docforge_slab", "left")
     may = told.select(*df.columns, F.coalesce(F.expr(_BIT_IS_SET), F.lit(False)).alias("__docforge_may"))
     return may.filter("__docforge_may").drop("__docforge_may"), may.filter("NOT __docforge_may").drop("__docforge_may")
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str, by: str) -> DataFrame:
+    """rows joined with facts, a written table with a row for each key and in `size` how many rows the key has.
+
+    Keys with more rows than a quarter of a partition are dealt to several by a hash of `by`, and their
+    facts repeated; there are at most four such keys for each partition, so they are broadcast.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    most = max(SPREAD_ROWS, total // (4 * parts))
+    hot = F.broadcast(facts.filter(F.col(size) > most).select(*on, F.ceil(F.col(size) / most).cast("int").alias("__docforge_salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("__docforge_salts")), F.lit(0)).cast("int")
+    dealt = rows.join(hot, list(on), "left").withColumn("__docforge_salt", salt).drop("__docforge_salts")
+    told = facts.join(hot, list(on), "left").withColumn("__docforge_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__docforge_salts", F.lit(1)) - 1))).drop("__docforge_salts")
+    return dealt.join(told, [*on, "__docforge_salt"]).drop("__docforge_salt")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone(doc_id); only rows that a bit filter can't clear are shuffled."""
     gone = materialise(gone.select("doc_id").distinct(), "gone")
@@ -96,9 +148,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return clear.unionByName(may.join(gone, "doc_id", "left_anti"))
 
 
-def through(df: DataFrame, column: str, bitmaps: DataFrame, bits: int = 23) -> DataFrame:
+def through(df: DataFrame, column: str, known: BitFilter) -> DataFrame:
     """The rows of df whose value may be in a bit_filter()."""
-    return split_by(df, column, bitmaps, bits)[0]
+    return split_by(df, column, known)[0]
 
 
 def tokenizer_path(name: str) -> str:

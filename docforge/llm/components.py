@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-MOST_ROUNDS = 60
+from .common import discard, materialise
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -23,15 +21,17 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Rows (node, label) for every node of links(u, v) but those that are their component's smallest, which is the label."""
+    """Rows (node, label) for every node of links(u, v) but those that are their component's smallest, which is the label.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of the largest component.
+    """
     e = materialise(links.filter("u <> v").select("u", "v").distinct(), "links")
     before = None
-    for _ in range(MOST_ROUNDS):
-        e = materialise(_small_star(_large_star(e)), "components")
+    while True:
+        new = materialise(_small_star(_large_star(e)), "components")
+        discard(e)
+        e = new
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before or not now[0]:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -8,7 +8,9 @@ their first n - ceil((1 - r) n) + 1 shingles, and into the regions of those the
 Within a region the pivots are documents. All within r of the pivot are linked to it, and so in one component
 without being compared. By the triangle inequality, two sets can be linked only if their distances
 to the pivot differ by r at most; sets with one of another component in that window
-are joined again, with new pivots, until none is left. Before sets are fetched, a small parity sketch
+are joined again, with several new pivots: each set lies in the Voronoi region of the nearest one and, as sets within r of each other differ by
+2 r at most in how much farther another pivot is, is replicated into those whose pivot is no more than 2 r farther. So
+regions are cut until none is left. Before sets are fetched, a small parity sketch
 bounds from below in how many elements two sets differ, and pairs too far apart by it are not compared.
 """
 
@@ -24,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, small_batches, through, without
+from .common import bit_filter, discard, join_spread, materialise, small_batches, through, without
 from .components import components
-from .words import hash64, mixed, pieces, split
+from .words import SPACE, hash64, is_long, mixed, parts_of, pieces, split
 
 #: The order has so many buckets of shingles, and levels by how often those repeat that occur twice within so many shingles of a task.
 ORDER_BITS = 24
@@ -35,12 +37,19 @@ LOCAL_SHINGLES = 2_000_000
 #: Regions are joined in one task up to so many sets and shingles, and block by block beyond.
 BLOCK_SETS = 500
 BLOCK_SHINGLES = 1_000_000
+#: Pivots of the Voronoi regions of a region with more than so many sets; a cut that replicates more than half as many again isn't made.
+PIVOTS, WORTH_CUTTING, MOST_REPLICAS = 6, 24, 1.5
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word shingles; fewer words make one shingle, no words none."""
-    words, codes, begins = split(texts, lower=True)
-    h = hash64(words)[codes]
+    if is_long(texts):
+        parts = (split(pa.array([t]), lower=True) for t in parts_of(texts[0].as_py(), SPACE))
+        h = np.concatenate([hash64(words)[codes] for words, codes, _ in parts])
+        begins = np.array([0, len(h)])
+    else:
+        words, codes, begins = split(texts, lower=True)
+        h = hash64(words)[codes]
     factors = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for k in range(width):
@@ -198,36 +207,61 @@ def with_partners(size: np.ndarray, sketches: list[bytes], label: np.ndarray, pe
     return may.any(1)
 
 
+def _to_pivot(pivot: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distances of sets to a pivot, and which are similar to it."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+    both = np.add.reduceat((pivot[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    either = size + len(pivot) - both
+    return 1 - both / either, 100 * both >= percent * either
+
+
+def _in_window(away: np.ndarray, of: np.ndarray, radius: float) -> np.ndarray:
+    """Which sets have one of another component in the window around their distance to the pivot."""
+    order = np.argsort(away, kind="stable")
+    there, same = away[order], of[order]
+    changes = np.append(0, np.cumsum(same[1:] != same[:-1]))
+    low = np.searchsorted(there, there - radius, "left")
+    high = np.searchsorted(there, there + radius, "right") - 1
+    out = np.zeros(len(away), bool)
+    out[order[changes[high] > changes[low]]] = True
+    return out
+
+
 def join_region(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what is similar in a region, where sets of one label are connected already.
 
-    A pivot is compared with all sets left and then leaves. So does each set in whose
-    window of distances to the pivot, as wide as the radius, all sets are connected to it.
+    Pivots are compared with all sets of the region and then leave. The others fall into the pivots' Voronoi regions, those
+    at a boundary into several; only those stay in whose window of distances to each pivot, as wide as the radius,
+    not all sets are connected. Where regions would overlap too much, there is one pivot and no cut.
     """
     links: list[tuple[int, int]] = []
     radius = 1 - percent / 100 + 1e-9
     of = np.unique(label, return_inverse=True)[1]
-    here = np.arange(len(nodes))
-    while len(here) > 1:
-        p = here[0]
-        size = np.array([len(sets[k]) for k in here])
-        flat = np.concatenate([sets[k] for k in here])
-        at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
-        both = np.add.reduceat((sets[p][at] == flat).astype(np.int64), np.cumsum(size) - size)
-        either = size + len(sets[p]) - both
-        near = 100 * both >= percent * either
-        # One link for each component that joins the pivot's, not one for each set.
-        joined, first = np.unique(of[here[near]], return_index=True)
-        links += [(int(nodes[p]), int(nodes[here[near][k]])) for c, k in zip(joined, first, strict=True) if c != of[p]]
-        of[np.isin(of, of[here[near]])] = of[p]
-        away = 1 - both / either
-        order = np.argsort(away, kind="stable")
-        order = order[here[order] != p]
-        sorted_away, same = away[order], of[here[order]]
-        changes = np.append(0, np.cumsum(same[1:] != same[:-1]))
-        low = np.searchsorted(sorted_away, sorted_away - radius, "left")
-        high = np.searchsorted(sorted_away, sorted_away + radius, "right") - 1
-        here = np.sort(here[order[changes[high] > changes[low]]])
+    todo = [np.arange(len(nodes))]
+    while todo:
+        here = todo.pop()
+        if len(here) < 2 or (of[here] == of[here[0]]).all():
+            continue
+        pivots = here[np.linspace(0, len(here) - 1, PIVOTS if len(here) > WORTH_CUTTING else 1).astype(int)]
+        away = np.empty((len(pivots), len(here)))
+        for k, p in enumerate(pivots):
+            away[k], near = _to_pivot(sets[p], [sets[x] for x in here], percent)
+            # One link for each component that joins the pivot's, not one for each set.
+            joined, first = np.unique(of[here[near]], return_index=True)
+            links += [(int(nodes[p]), int(nodes[here[near][x]])) for c, x in zip(joined, first, strict=True) if c != of[p]]
+            of[np.isin(of, of[here[near]])] = of[p]
+        left = ~np.isin(here, pivots)
+        here, away = here[left], away[:, left]
+        if not len(here):
+            continue
+        stay = np.all([_in_window(d, of[here], radius) for d in away], 0)
+        here, away = here[stay], away[:, stay]
+        cells = away <= away.min(0, initial=1) + 2 * radius
+        if cells.sum() > MOST_REPLICAS * len(here):
+            cells = np.ones((1, len(here)), bool)
+        todo += [here[c] for c in cells]
     return links
 
 
@@ -235,19 +269,25 @@ def _sets_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) ->
     """node and shingles for the given nodes: their texts are read and cut into shingles again."""
     involved = materialise(nodes.distinct().join(reps.select("node", "rep", "digest"), "node"), "jaccard-involved")
     texts = through(docs, "doc_id", bit_filter(involved.select(F.col("rep").alias("doc_id")), "doc_id"))
-    return materialise(_sets(texts, width).join(involved, ["rep", "digest"]).select("node", "shingles"), "jaccard-sets", compression="none")
+    # A row that repeats its doc_id and set is the same node. The join's partitions serve the aggregate too.
+    found = _sets(texts, width).join(involved, ["rep", "digest"]).groupBy("rep", "digest", "node").agg(F.first("shingles").alias("shingles"))
+    out = materialise(found.select("node", "shingles"), "jaccard-sets", compression="none")
+    discard(involved)
+    return out
 
 
 def _once(members: DataFrame) -> DataFrame:
-    """Of regions with the same members one, and none whose members have a single label."""
+    """Of regions with the same members one, and none whose members have a single label; members is a written table."""
     same = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-    return members.join(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region"), "region")
+    one = materialise(same.groupBy("n", "low", "high", "sum").agg(F.min("region").alias("region")).select("region", "n"), "jaccard-once")
+    return join_spread(members, one, ["region"], "n", "node").drop("n")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members of regions, each region as one block (i = j = 0) or, if it is large, as pairs of blocks of bounded size that meet all others."""
+def _blocks(members: DataFrame, more: DataFrame) -> DataFrame:
+    """members, a written table of regions, with more(node, ...), each region as one block (i = j = 0) or, if it is large, as pairs of blocks of bounded size that meet all others."""
     count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(members.groupBy("region").agg(count.alias("blocks")), "region").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    counts = materialise(members.groupBy("region").agg(count.alias("blocks"), F.count(F.lit(1)).alias("n")), "jaccard-blocks")
+    dealt = join_spread(members.join(more, "node"), counts, ["region"], "n", "node").drop("n").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
@@ -257,49 +297,58 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of
     `width`-word shingles; component_id is the smallest doc_id that links reach. Null texts and those without
     words have no shingles and link with nothing. A row whose doc_id is null links with nothing and has a
-    null component. Equal sets, repeated rows too, are one node. An empty table gives an empty result;
-    other columns don't matter.
+    null component. Equal sets, repeated rows too, are one node; of rows with one id and different texts each has its own set. An empty table gives an empty result;
+    other columns don't matter. A long text is cut into words in parts; its set is held whole.
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(_keys(docs, _order(docs, width), percent, width), "jaccard-keys")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "parity", "firsts").agg(F.min("doc_id").alias("rep"))
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "parity", "firsts").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     placed = reps.select("node", "n_shingles", F.explode("firsts").alias("shingle"))
     shared = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
     shared = materialise(shared, "jaccard-shared")
     # Similar sets differ in size by a factor of 100 / percent at most: each goes into the region of its band of sizes and into the next one's.
     band = F.floor(F.log("n_shingles") / (math.log(100 / percent) + 1e-9))
-    banded = through(placed, "shingle", bit_filter(shared, "shingle", 25), 25).join(shared, "shingle").select("node", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"), "shingle")
+    banded = through(placed, "shingle", bit_filter(shared, "shingle")).join(shared, "shingle").select("node", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"), "shingle")
     banded = materialise(banded.select("node", "n_shingles", F.xxhash64("shingle", "band").alias("region")), "jaccard-banded")
     regions = banded.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter("n > 1")
     # Near copies share many shingles, and so many regions have the same sets: one of them is joined.
     regions = materialise(regions.groupBy("n", "pivot", "last", "sum").agg(F.min("region").alias("region")).select("region", "n", "pivot"), "jaccard-regions")
-    members = materialise(through(banded, "region", bit_filter(regions, "region")).join(regions, "region"), "jaccard-members")
+    members = materialise(join_spread(through(banded, "region", bit_filter(regions, "region")), regions, ["region"], "n", "node"), "jaccard-members")
+    discard(shared, banded)
 
     sketched = reps.select("node", "n_shingles", "parity")
-    pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
-    pairs = pairs.join(sketched, "node").join(sketched.toDF("pivot", "pivot_n", "pivot_parity"), "pivot")
-    bounds = materialise(_bounds(pairs, percent), "jaccard-bounds")
+    pairs = materialise(members.filter("node <> pivot").select("node", "pivot").distinct(), "jaccard-pairs")
+    pivots = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).join(sketched.toDF("pivot", "pivot_n", "pivot_parity"), "pivot")
+    pivots = materialise(pivots, "jaccard-pivots")
+    bounds = materialise(_bounds(join_spread(pairs.join(sketched, "node"), pivots, ["pivot"], "m", "node"), percent), "jaccard-bounds")
+    discard(pairs, pivots)
     maybe = bounds.filter("may").select("node", "pivot")
     sets = _sets_of(docs, reps, maybe.select("node").unionByName(maybe.select(F.col("pivot").alias("node"))), width)
-    exact = _distances(maybe.join(sets, "node").join(sets.toDF("pivot", "pivot_shingles"), "pivot")).distinct()
+    exact = _distances(maybe.join(sets, "node").join(sets.toDF("pivot", "pivot_shingles"), "pivot"))
     exact = exact.select("node", "pivot", F.expr(f"100 * both >= {percent} * either").alias("near"), F.expr("1 - both / either").alias("away"))
     compared = materialise(exact.unionByName(bounds.filter("NOT may").select("node", "pivot", F.lit(False).alias("near"), "away")), "jaccard-compared")
+    discard(sets, bounds)
 
-    again = members.filter("n > 2 AND node <> pivot").join(compared.select("node", "pivot", "near", "away"), ["node", "pivot"])
-    outside = again.filter("NOT near").groupBy("region").agg(F.min("away").alias("nearest"))
+    again = members.filter("n > 2 AND node <> pivot").join(compared, ["node", "pivot"]).select("region", "node", "n_shingles", "near", "away")
+    again = materialise(again, "jaccard-again")
+    discard(members)
+    outside = again.groupBy("region").agg(F.min(F.when(~F.col("near"), F.col("away"))).alias("nearest"), F.count(F.lit(1)).alias("m")).filter("nearest IS NOT NULL")
+    outside = materialise(outside, "jaccard-outside")
     # What the pivots have connected needs no other link: regions with a single component are done.
     stars = materialise(components(compared.filter("near").select(F.col("node").alias("u"), F.col("pivot").alias("v"))), "jaccard-stars")
-    left = again.join(outside, "region").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles")
-    left = materialise(_once(left.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))), "jaccard-left")
+    left = join_spread(again, outside, ["region"], "m", "node").filter(F.expr(f"NOT near OR away >= nearest - {1 - percent / 100} - 1e-9")).select("region", "node", "n_shingles")
+    left = materialise(left.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-left")
+    discard(compared, again, outside)
+    left = materialise(_once(left), "jaccard-left-once")
 
     def pick(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node")
         return b[with_partners(b["n_shingles"].to_numpy(), list(b["parity"]), b["label"].to_numpy(), percent)][["region", "node", "n_shingles", "label"]]
 
-    picked = _blocks(left.join(sketched.drop("n_shingles"), "node")).groupBy("region", "i", "j").applyInPandas(pick, "region long, node long, n_shingles long, label long")
+    picked = _blocks(left, sketched.drop("n_shingles")).groupBy("region", "i", "j").applyInPandas(pick, "region long, node long, n_shingles long, label long")
     picked = materialise(_once(materialise(picked.distinct(), "jaccard-picked")), "jaccard-picked-once")
-    dealt = _blocks(picked).join(_sets_of(docs, reps, picked.select("node"), width), "node")
+    dealt = _blocks(picked, _sets_of(docs, reps, picked.select("node"), width))
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node").sort_values("node")
@@ -308,14 +357,19 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
 
     inner = dealt.groupBy("region", "i", "j").applyInPandas(join, "u long, v long")
     labels = components(stars.toDF("u", "v").unionByName(inner))
-    known = reps.select("node", "rep", "digest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = reps.select("node", "rep", "digest", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("rep").alias("component"))
-    named = known.join(least, "label").select("digest", "component")
-    return rows.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    named = materialise(known.join(least, "label").select("digest", "component", "copies"), "jaccard-named")
+    linked = join_spread(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL"), named, ["digest"], "copies", "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # A row with an id and no shingles is its own component; one without an id has none.
+    return linked.unionByName(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs but those of documents of which a near copy has a smaller doc_id; rows that share a doc_id go together, null ids stay."""
+    """The rows of docs, with all their columns, but those of documents of which a near copy has a smaller doc_id.
+
+    Rows that share a doc_id go together, null ids, null texts and texts without words stay; an empty table stays empty.
+    """
     return without(docs, linked_components(docs, percent, width).filter("doc_id <> component_id"))
 
 

@@ -16,25 +16,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .words import letters, pieces, sums
+from .words import NO_LETTER, is_long, letters, parts_of, pieces, sums
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 #: A language that takes part has at least this share.
 LEAST_SHARE = 0.05
 ROUNDS = 60
-#: The model has a row of 2**16 doubles for each language; more labels than this are refused rather than sent to all executors.
-MOST_LANGUAGES = 500
+#: Elements of a table of trigrams by languages that are held at a time.
+TABLE = 1 << 22
 
 
 @dataclass
 class Model:
     languages: list[str]
-    log_p: np.ndarray  # a row for each bucket, a column for each language
+    log_p: np.ndarray  # a row for each bucket, a column for each language; 256 KB a language
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of the trigram around each letter, in order, and where each text's begin (one more at the end)."""
+def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the trigrams around letters, how often each counts, and where each text's begin (one more at the end).
+
+    Each letter gives a bucket that counts once, but in a long text, which is cut, each bucket stands once with its count.
+    """
+    if is_long(texts):
+        n = np.zeros(BUCKETS, np.int64)
+        for part in parts_of(texts[0].as_py(), NO_LETTER):
+            n += np.bincount(_grams(pa.array([part]))[0], minlength=BUCKETS)
+        kinds = np.flatnonzero(n)
+        return kinds, n[kinds], np.array([0, len(kinds)])
+    grams, begins = _grams(texts)
+    return grams, np.ones(len(grams), np.int64), begins
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points, begins = letters(texts)
     p = points.astype(np.uint64)
     at = np.flatnonzero(p)  # never the first or the last: those are 0
@@ -51,11 +65,11 @@ def fit(docs: DataFrame) -> Model:
         for b in batches:
             langs = b.column("lang").to_pylist()
             for start, part in pieces(b.column("text")):
-                grams, begins = trigrams(part)
+                grams, times, begins = trigrams(part)
                 here = langs[start : start + len(part)]
                 names = {x: k for k, x in enumerate(dict.fromkeys(here))}
                 of = np.repeat(np.array([names[x] for x in here]), np.diff(begins))
-                n = np.bincount(of * BUCKETS + grams, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                n = np.bincount(of * BUCKETS + grams, times, minlength=len(names) * BUCKETS).astype(np.int64).reshape(-1, BUCKETS)
                 for x, k in names.items():
                     seen[x] = seen[x] + n[k] if x in seen else n[k]
         for x, n in seen.items():
@@ -66,13 +80,14 @@ def fit(docs: DataFrame) -> Model:
 
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang")
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts.column("lang").to_pylist()))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; {MOST_LANGUAGES} are provided for")
-    table = np.full((BUCKETS, len(names)), SMOOTHING)
-    column = {x: k for k, x in enumerate(names)}
-    np.add.at(table, (np.asarray(counts.column("bucket")), [column[x] for x in counts.column("lang").to_pylist()]), np.asarray(counts.column("n")))
-    return Model(names, np.log(table / table.sum(0)))
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    names = sorted(known)
+    column = np.array([names.index(x) for x in known], np.int64)
+    table = np.full((BUCKETS, len(names)), SMOOTHING, np.float32)
+    if names:  # each pair of a language and a bucket stands once
+        table[np.asarray(counts.column("bucket")), column[np.asarray(coded.indices)]] += np.asarray(counts.column("n"))
+    return Model(names, np.log(table / table.sum(0, dtype=np.float64)).astype(np.float32))
 
 
 def mixture(p: np.ndarray, n: np.ndarray, first: int) -> tuple[np.ndarray, float]:
@@ -113,26 +128,30 @@ def infer(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndar
     Most texts have one language, and no mixture is worth its penalty: the likelihood is concave in
     a second language's share, so if it falls at the least share, EM isn't needed.
     """
-    grams, begins = trigrams(texts)
+    grams, times, begins = trigrams(texts)
     n, k = len(texts), len(model.languages)
     size = np.diff(begins)
     if not k:
         return ["und"] * n, np.zeros(n), np.zeros(n, np.int32)
-    p = np.exp(model.log_p)
-    single = sums(model.log_p[grams], begins)
+    single, rise = np.zeros((n, k)), np.zeros((n, k))
+    # Some texts at a time, so that tables of their trigrams by languages stay small however many languages there are.
+    stops = np.unique(np.append(np.searchsorted(begins, np.arange(0, begins[-1], max(1, TABLE // k))), n))
+    for low, high in zip(np.append(0, stops[:-1]), stops, strict=True):
+        part = slice(begins[low], begins[high])
+        log_p = model.log_p[grams[part]].astype(np.float64)
+        single[low:high] = sums(log_p * times[part, None], begins[low : high + 1] - begins[low])
+        first = np.repeat(single[low:high].argmax(1), size[low:high])
+        ratio = np.exp(log_p - log_p[np.arange(len(log_p)), first][:, None]) - 1
+        rise[low:high] = sums(times[part, None] * ratio / (1 + LEAST_SHARE * ratio), begins[low : high + 1] - begins[low])
     best = single.argmax(1)
     posterior = 1 / np.exp(single - single.max(1, keepdims=True)).sum(1)
-    of = np.repeat(np.arange(n), size)
-    ratio = p[grams]
-    ratio /= ratio[np.arange(len(grams)), best[of]][:, None]
-    ratio -= 1
-    rise = sums(ratio / (1 + LEAST_SHARE * ratio), begins)
     rise[np.arange(n), best] = 0
     share, many = np.ones(n), np.where(size > 0, 1, 0).astype(np.int32)
     for d in np.flatnonzero((rise > 0).any(1) & (size > 0)):
         use = np.flatnonzero((rise[d] > 0) | (np.arange(k) == best[d]))
-        kinds, times = np.unique(grams[begins[d] : begins[d + 1]], return_counts=True)
-        shares, _ = mixture(p[np.ix_(kinds, use)], times.astype(float), int(np.flatnonzero(use == best[d])[0]))
+        kinds, where = np.unique(grams[begins[d] : begins[d + 1]], return_inverse=True)
+        counts = np.bincount(where, times[begins[d] : begins[d + 1]])
+        shares, _ = mixture(np.exp(model.log_p[np.ix_(kinds, use)].astype(np.float64)), counts, int(np.flatnonzero(use == best[d])[0]))
         best[d], share[d], many[d] = use[shares.argmax()], shares.max(), (shares > 0).sum()
     return [model.languages[b] if s else "und" for b, s in zip(best, size, strict=True)], np.where(size > 0, share * posterior, 0), many
 
@@ -143,7 +162,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     score is the language's share of the text times its posterior against the other
     languages. Null texts and those without a letter are `und` with score 0, as is every text if no row
     has a language to learn from. Ties go to the language first by name; repeated rows repeat; a null
-    doc_id is held out. Other columns don't matter.
+    doc_id is held out; an empty table stays empty. Other columns don't matter. A long text is cut where there
+    is no letter, which changes nothing.
     """
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose language scores `least` or more.
 
-    Texts without a letter go; if no row has a language to learn from, all others stay.
+    Null texts and those without a letter go; if no row has a language to learn from, all others stay, and so does a null doc_id or a repeated row.
     """
     model = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -178,7 +198,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                     _, score, many = infer(part, shared.value)
                     stay = (many > 0) & (score >= least)
                 else:
-                    stay = np.diff(trigrams(part)[1]) > 0
+                    stay = np.diff(trigrams(part)[2]) > 0
                 yield b.slice(start, len(part)).filter(pa.array(stay))
 
     model_languages = len(model.languages)

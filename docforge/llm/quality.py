@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
-from .words import mixed, pieces, split, sums
+from .common import discard, held_out, materialise
+from .words import SPACE, is_long, mixed, parts_of, pieces, split, sums
 
 BUCKETS = 1 << 17
 SIZES = (3, 4)
@@ -21,6 +21,8 @@ EPOCHS = 12
 RATE = 0.5
 #: The classifier is fitted on so many labelled documents at most, those whose hashed id comes first.
 SAMPLE = 4_000
+#: And on so many bytes of their features at most: the driver never holds more, however long documents are.
+SAMPLE_BYTES = 96 << 20
 THRESHOLD = 0.3
 
 
@@ -55,6 +57,17 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def document_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and their weights in its average over words."""
+    if is_long(texts):
+        total, n = np.zeros(BUCKETS), 0
+        for part in parts_of(texts[0].as_py(), SPACE):
+            words, codes, _ = split(pa.array([part]), lower=False)
+            buckets, at = features(words)
+            each = np.bincount(codes, minlength=len(words)) / np.maximum(1, np.diff(at))
+            total += np.bincount(buckets, np.repeat(each, np.diff(at)), BUCKETS)
+            n += len(codes)
+        distinct = np.flatnonzero(total)
+        yield distinct, total[distinct] / max(1, n)
+        return
     words, codes, begins = split(texts, lower=False)
     buckets, at = features(words)
     for d in range(len(texts)):
@@ -93,7 +106,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> M
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from labelled documents that are not held out, at most `sample` of them: a bounded driver table whatever the input."""
+    """Learns from labelled documents that are not held out, at most `sample` of them and SAMPLE_BYTES: a bounded driver table whatever the input."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -108,26 +121,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    got = rows.mapInArrow(run, f"doc_id {kind}, quality int, at binary, weight binary").toArrow().sort_by("doc_id").slice(0, sample).to_pylist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").cast("int").alias("quality"))
+    table = materialise(rows.mapInArrow(run, f"doc_id {kind}, quality int, at binary, weight binary"), "quality-samples")
+    # At most `sample` sizes come to the driver, then features within the bound.
+    sizes = table.select("doc_id", (F.length("at") + F.length("weight")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    kept = [r["doc_id"] for r, total in zip(sizes, np.cumsum([r["size"] for r in sizes]), strict=True) if total <= SAMPLE_BYTES]
+    got = table.filter(F.col("doc_id").isin(kept)).toArrow().sort_by("doc_id").to_pylist() if kept else []
+    discard(table)
     return train([(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["weight"], np.float32).astype(float), r["quality"]) for r in got])
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     """The probability of label 1. The output is linear in the average, so each distinct word needs its weight once."""
-    words, codes, begins = split(texts, lower=False)
+    if is_long(texts):
+        total = n = 0
+        for part in parts_of(texts[0].as_py(), SPACE):
+            words, codes, _ = split(pa.array([part]), lower=False)
+            total, n = total + _of_words(words, model)[codes].sum(), n + len(codes)
+        z = np.array([total / max(1, n)])
+    else:
+        words, codes, begins = split(texts, lower=False)
+        z = sums(_of_words(words, model)[codes], begins) / np.maximum(1, np.diff(begins))
+    return 1 / (1 + np.exp(-np.clip(z + model.bias, -50, 50)))
+
+
+def _of_words(words: pa.Array, model: Model) -> np.ndarray:
     buckets, at = features(words)
-    of_word = sums(model.weight[buckets], at) / np.maximum(1, np.diff(at))
-    z = sums(of_word[codes], begins) / np.maximum(1, np.diff(begins)) + model.bias
-    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    return sums(model.weight[buckets], at) / np.maximum(1, np.diff(at))
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs(doc_id, text, ...), learned from labels(doc_id, quality, ...).
 
     Null and empty texts get the score of the bias alone. Rows are scored alone: repeated
-    rows repeat, an empty table stays empty, other columns don't matter. Labels other than 0 and 1 are left
-    out; of several labels of a document the higher counts. Without labels each score is a half.
+    rows repeat, a null doc_id is held out, an empty table stays empty, other columns don't matter. A long text is cut at
+    white space, which changes nothing. Labels other than 0 and 1 are left
+    out; of several labels of a document the higher counts, and of several texts the first. Without labels each score is a half.
     """
     model = model or fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,10 @@ import pyarrow.compute as pc
 import xxhash
 
 CHUNK_BYTES = 3 << 19
+#: Texts of more characters are cut, at white space or else at what isn't a letter.
+LONG = 1 << 20
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+NO_LETTER = re.compile(r"[\W\d_]")
 RELEASE_BYTES = 8 << 20
 
 
@@ -36,6 +41,20 @@ def pieces(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         start = stop
 
 
+def parts_of(text: str, at: re.Pattern[str], size: int = LONG) -> Iterator[str]:
+    """A text in parts of about `size` characters, each from the second on beginning with a character that fits `at`; one part if none does."""
+    start = 0
+    while len(text) - start > size and (found := at.search(text, start + size)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
+def is_long(texts: pa.Array) -> bool:
+    """Whether a slice that pieces() gives is a single long text."""
+    return len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > 2 * CHUNK_BYTES
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Successive batches as one, up to about `limit` bytes."""
     held: list[pa.RecordBatch] = []
