@@ -1,167 +1,141 @@
-"""Filters over DataFrames: compiled to Catalyst columns where the table's types allow it, interpreted on Arrow batches elsewhere."""
+"""Filters over DataFrames: compiled to plans where the table's types allow it, interpreted on Arrow batches elsewhere."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import values as V
-from .interpreter import Break, evaluate
-from .parser import parse
-
-
-class NotTyped(Exception):
-    """The filter has no translation to columns."""
-
-
-COMPARE = {"==": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: (a < b) | a.isNull() & b.isNotNull(), "<=": lambda a, b: (a <= b) | a.isNull(), ">": lambda a, b: (a > b) | a.isNotNull() & b.isNull(), ">=": lambda a, b: (a >= b) | b.isNull()}  # null is below all
-UNARY = {
-    "length": lambda c, t: F.length(c) if isinstance(t, T.StringType) else F.size(c) if isinstance(t, (T.ArrayType, T.MapType)) else F.abs(c),
-    "not": lambda c, t: ~F.coalesce(c if isinstance(t, T.BooleanType) else c.isNotNull(), F.lit(False)), "floor": lambda c, t: F.floor(c), "ceil": lambda c, t: F.ceil(c), "sqrt": lambda c, t: F.sqrt(c), "fabs": lambda c, t: F.abs(c.cast("double")),
-    "tostring": lambda c, t: c.cast("string"), "tonumber": lambda c, t: c.cast("double"), "utf8bytelength": lambda c, t: F.octet_length(c), "trim": lambda c, t: F.trim(c), "ltrim": lambda c, t: F.ltrim(c), "rtrim": lambda c, t: F.rtrim(c),
-    "ascii_downcase": lambda c, t: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "ascii_upcase": lambda c, t: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "reverse": lambda c, t: F.reverse(c),
-    "sort": lambda c, t: F.array_sort(c), "unique": lambda c, t: F.array_sort(F.array_distinct(c)), "min": lambda c, t: F.array_min(c), "max": lambda c, t: F.array_max(c), "flatten": lambda c, t: F.flatten(c), "first": lambda c, t: F.get(c, F.lit(0)), "last": lambda c, t: F.try_element_at(c, F.lit(-1)),
-    "add": lambda c, t: F.aggregate(c, F.lit(0).cast(t.elementType), lambda a, b: a + b), "keys": lambda c, t: F.array_sort(F.map_keys(c)), "to_entries": lambda c, t: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
-    "todate": lambda c, t: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "fromdate": lambda c, t: F.unix_timestamp(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "tojson": lambda c, t: F.to_json(c), "explode": lambda c, t: F.transform(F.split(c, ""), lambda x: F.ascii(x)),
-}
-BINARY = {"startswith": lambda c, x: F.startswith(c, x), "endswith": lambda c, x: F.endswith(c, x), "split": lambda c, x: F.split(c, F.concat(F.lit("\\Q"), x, F.lit("\\E")), -1), "join": lambda c, x: F.array_join(c, F.lit(x) if isinstance(x, str) else x), "test": lambda c, x: F.regexp_like(c, x), "has": lambda c, x: F.map_contains_key(c, x), "contains": lambda c, x: F.contains(c, x)}
-
-
-def _columns(e: tuple, here: Column, schema: T.DataType, df: DataFrame) -> tuple[Column, T.DataType]:
-    """A column and its type for a filter with one output."""
-
-    def typed(c: Column) -> tuple[Column, T.DataType]:
-        return c, df.select(c.alias("x")).schema["x"].dataType
-
-    match e:
-        case ("identity",):
-            return here, schema
-        case ("literal", x) if not isinstance(x, (list, dict)):
-            return typed(F.lit(x))
-        case ("pipe", a, b):
-            c, t = _columns(a, here, schema, df)
-            return _columns(b, c, t, df)
-        case ("index", a, ("literal", k)):
-            c, t = _columns(a, here, schema, df)
-            if isinstance(t, T.StructType) and isinstance(k, str):
-                if k not in t.fieldNames():
-                    return typed(F.lit(None))
-                return (F.col(f"`{k}`") if c is ROOT else c[k]), t[k].dataType
-            if isinstance(t, T.MapType):
-                return c[k], t.valueType
-            if isinstance(t, T.ArrayType) and not isinstance(k, str):
-                return (F.get(c, F.lit(int(k))) if k >= 0 else F.try_element_at(c, F.lit(int(k)))), t.elementType
-        case ("slice", a, lo, hi):
-            c, t = _columns(a, here, schema, df)
-            start, stop = (x[1] if x else None for x in (lo, hi))
-            if isinstance(t, T.ArrayType) and all(x is None or isinstance(x, int) and x >= 0 for x in (start, stop)):
-                return F.slice(c, F.lit((start or 0) + 1), F.greatest(F.lit(0), (F.lit(stop) if stop is not None else F.size(c)) - (start or 0))), t
-        case ("binary", op, a, b):
-            x, y = _columns(a, here, schema, df)[0], _columns(b, here, schema, df)[0]
-            return typed(COMPARE[op](x, y) if op in COMPARE else {"+": x + y, "-": x - y, "*": x * y, "/": x / y, "%": x.cast("long") % y.cast("long")}[op])
-        case ("and" | "or" as op, a, b):
-            x, y = _truth(a, here, schema, df), _truth(b, here, schema, df)
-            return x & y if op == "and" else x | y, T.BooleanType()
-        case ("//", a, b):
-            x, t = _columns(a, here, schema, df)
-            y = _columns(b, here, schema, df)[0]
-            return typed(F.when(x, x).otherwise(y) if isinstance(t, T.BooleanType) else F.coalesce(x, y))
-        case ("if", c, a, b):
-            return typed(F.when(_truth(c, here, schema, df), _columns(a, here, schema, df)[0]).otherwise(_columns(b, here, schema, df)[0]))
-        case ("object", items):
-            return typed(F.struct(*(_columns(v, here, schema, df)[0].alias(k[1]) for k, v in items if k[0] == "literal")))
-        case ("string", parts, None):
-            return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(_columns(p, here, schema, df)[0].cast("string"), F.lit("null")) for p in parts)), T.StringType()
-        case ("call", name, []) if name in UNARY and here is not ROOT:
-            c, t = (here, schema)
-            return typed(UNARY[name](c, t))
-        case ("call", name, [arg]) if name in BINARY and here is not ROOT:
-            return typed(BINARY[name](here, _columns(arg, here, schema, df)[0]))
-        case ("call", "map", [("call", name, [])]) if name in UNARY and isinstance(schema, T.ArrayType):
-            return typed(F.transform(here, lambda x: UNARY[name](x, schema.elementType)))
-    raise NotTyped(e)
-
-
-#: The row itself, whose fields are columns.
-ROOT = None
-
-
-def _truth(e: tuple, here: Column, schema: T.DataType, df: DataFrame) -> Column:
-    c, t = _columns(e, here, schema, df)
-    return F.coalesce(c, F.lit(False)) if isinstance(t, T.BooleanType) else c.isNotNull()
-
-
-def compile_filter(df: DataFrame, program: str) -> DataFrame:
-    """The plan of a filter whose input values are the rows of df (`.[]` over the table may be left out).
-
-    select() becomes a filter that reaches the scan, an object a projection, iteration over an array an
-    explode; raises NotTyped for what has no such form.
-    """
-    e = parse(program)
-    stages = []
-    while e[0] == "pipe":
-        stages.append(e[1])
-        e = e[2]
-    stages.append(e)
-    for s in stages:
-        match s:
-            case ("iterate", ("identity",)) | ("identity",):
-                continue
-            case ("call", "select", [c]):
-                found, kind = _columns(c, ROOT, df.schema, df)
-                df = df.filter(found if isinstance(kind, T.BooleanType) else found.isNotNull())
-            case ("object", items):
-                df = df.select(*(_columns(v, ROOT, df.schema, df)[0].alias(k[1]) for k, v in items))
-            case ("iterate", inner):
-                df = df.select(F.explode(_columns(inner, ROOT, df.schema, df)[0]).alias("value"))
-            case _:
-                df = df.select(_columns(s, ROOT, df.schema, df)[0].alias("value"))
-    return df
-
-
-def interpret(df: DataFrame, program: str, column: str = "value", variables: dict | None = None, mode: str = "jq") -> DataFrame:
+from .interpreter import Halt, evaluate_tree
+from .modules import resolve
+from .tables import compile_filter
+from .typed import NotTyped
+
+__all__ = ["NotTyped", "compile_filter", "exit_status", "interpret", "interpret_stream", "query", "slurp"]
+
+OUT = [T.StructField("out_idx", T.LongType()), T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]
+
+
+def outputs(tree: tuple, modules: dict, line: str | None, variables: dict | None, mode: str, inputs: Iterator | None = None, info: dict | None = None) -> Iterator[tuple[int, str | None, str | None]]:
+    """Number, JSON text and error of each output; an error is the last."""
+    n = 0
+    try:
+        value = None if line is None else V.load(line)
+        for n, x in enumerate(evaluate_tree(tree, value, variables, inputs, mode, modules, info), 1):  # noqa: B007
+            yield n - 1, V.dump(x), None
+    except V.Raised as r:
+        yield n, None, V.text(r.value)
+    except V.Break:
+        yield n, None, "break"
+    except Halt as h:
+        if h.message is not None:
+            yield n, None, h.message
+    except RecursionError:
+        yield n, None, "nested too deep"
+    except ValueError as bad:
+        yield n, None, str(bad)
+
+
+def interpret(df: DataFrame, program: str, column: str = "value", variables: dict | None = None, mode: str = "jq", modules: Mapping[str, str] | None = None) -> DataFrame:
     """Every output of a filter on the JSON texts of a column: out_idx, value (JSON text) and error, after df's other columns.
 
-    Outputs before an error stay; bad JSON is an error row. Runs on Arrow batches, with no shuffle.
+    Outputs before an error stay; bad JSON is an error row, and a null text is the null value. Runs on Arrow batches, with no shuffle. Columns
+    doc_idx and file_idx, where df has them, are what document_index and file_index give.
     """
-    parse(program)  # errors in the filter come here, not from an executor
-    others = [f for f in df.schema.fields if f.name != column]
-    schema = T.StructType([*others, T.StructField("out_idx", T.LongType()), T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
-
-    def outputs(line: str | None) -> Iterator[tuple[int, str | None, str | None]]:
-        n = 0
-        try:
-            value = None if line is None else json.loads(line)
-            for n, x in enumerate(evaluate(program, value, variables, mode=mode), 1):  # noqa: B007
-                yield n - 1, V.dump(x), None
-        except V.Raised as r:
-            yield n, None, V.text(r.value)
-        except Break:
-            yield n, None, "break"
-        except ValueError as bad:
-            yield n, None, str(bad)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tree, known = resolve(program, modules)  # errors in the filter come here, not from an executor
+    others = [f for f in df.schema.fields if f.name not in (column, *(o.name for o in OUT))]
+    places = [f.name for f in others if f.name in ("doc_idx", "file_idx")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, keep = [], []
-            for k, line in enumerate(b[column].tolist()):
-                for out in outputs(line):
+            where = [b.column(p).to_pylist() for p in places]
+            for k, line in enumerate(b.column(column).to_pylist()):
+                for out in outputs(tree, known, line, variables, mode, None, {p: w[k] for p, w in zip(places, where, strict=True)}):
                     rows.append(out)
                     keep.append(k)
-            got = pd.DataFrame(rows, columns=["out_idx", "value", "error"])
-            yield pd.concat([b[[f.name for f in others]].iloc[keep].reset_index(drop=True), got], axis=1)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(f.name).take(at) for f in others), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))],
+                [*(f.name for f in others), *(o.name for o in OUT)],
+            )
+
+    return df.select(*(f.name for f in others), column).mapInArrow(run, T.StructType([*others, *OUT]))
 
-    return df.select(*[f.name for f in others], column).mapInPandas(run, schema)
 
+def interpret_stream(df: DataFrame, program: str, by: Sequence[str], order: Sequence[str], column: str = "value", variables: dict | None = None, null_input: bool = False, mode: str = "jq", modules: Mapping[str, str] | None = None) -> DataFrame:
+    """A filter on the texts of each stream, where input and inputs take what comes next: the columns `by`, in_idx, and the outputs.
 
-def query(df: DataFrame, program: str) -> DataFrame:
-    """A filter over a typed table: compiled if possible, else interpreted on the rows as JSON."""
+    The rows with the same `by` are one stream, in the order of `order`; with null_input the filter runs once, on null, and all texts are inputs.
+    A stream is read row by row in one task, since what a program reads depends on what it has read, and is never held.
+    """
+    tree, known = resolve(program, modules)
+    keys = [df.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((tuple(r[c] for c in by), r[column]) for b in batches for r in b.to_pylist())
+        ahead = next(rows, None)
+        while ahead is not None:
+            here = ahead[0]
+
+            def texts() -> Iterator[str]:
+                nonlocal ahead
+                while ahead is not None and ahead[0] == here:  # noqa: B023
+                    line = ahead[1]
+                    ahead = next(rows, None)
+                    yield line
+
+            left = texts()
+            values = (None if t is None else V.load(t) for t in left)
+            n = 0
+            for line in [None] if null_input else left:
+                for out in outputs(tree, known, line, variables, mode, values):
+                    yield pa.RecordBatch.from_pylist([dict(zip([*by, "in_idx", *(o.name for o in OUT)], [*here, n, *out], strict=True))], made)
+                n += 1
+            for _ in left:  # what the program has not read
+                pass
+
+    schema = T.StructType([*keys, T.StructField("in_idx", T.LongType()), *OUT])
+    made = to_arrow_schema(schema)
+    spread = df.repartition(*by) if by else df.coalesce(1)
+    return spread.sortWithinPartitions(*by, *order).select(*by, column).mapInArrow(run, schema)
+
+
+def slurp(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), column: str = "value") -> DataFrame:
+    """All texts of each `by` as one JSON array, in order: the input of a program that wants all documents at once."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(column), F.lit("null")).alias("_text"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["_text"]), ","), F.lit("]"))
+    return df.groupBy(*by).agg(text.alias(column))
+
+
+def exit_status(outputs: DataFrame, order: Sequence[str]) -> int:
+    """5 after an error, 4 without an output, 1 if the last output is null or false, else 0."""
+    last = outputs.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("error").isNotNull()).alias("bad"), F.max_by("value", F.struct(*order)).alias("last")).first()
+    return 5 if last["bad"] else 4 if not last["n"] else 1 if last["last"] in (None, "null", "false") else 0
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """Each row of a table as a JSON object."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def query(df: DataFrame, program: str, **tables: DataFrame) -> DataFrame:
+    """A filter over a typed table: a plan if possible, else interpreted on each row as JSON (without other tables)."""
     try:
-        return compile_filter(df, program)
-    except (NotTyped, KeyError, AttributeError):
-        return interpret(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), program)
+        return compile_filter(df, program, **tables)
+    except NotTyped:
+        if tables:
+            raise
+        return interpret(documents(df), program)
+
+
+def typed(outputs: DataFrame, schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Interpreted outputs, objects, as columns of a schema; an error fails the job."""
+    value = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("value"))
+    return outputs.select(*keep, F.from_json(value, schema).alias("_v")).select(*keep, "_v.*")
+
