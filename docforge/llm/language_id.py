@@ -24,7 +24,7 @@ SMOOTHING = 0.05
 LEAST_SHARE = 0.05
 ROUNDS = 60
 #: Elements of a table of trigrams by languages that are held at a time.
-TABLE = 1 << 22
+TABLE = 1 << 19
 
 
 @dataclass

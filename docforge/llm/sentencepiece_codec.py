@@ -23,12 +23,12 @@ from .common import tokenizer_path
 from .words import gathered, pieces
 
 #: Bytes of words, with their ids, and pairs of pieces that a worker keeps from one batch to the next.
-CACHE_BYTES = 20 << 20
-CACHE_PAIRS = 150_000
+CACHE_BYTES = 14 << 20
+CACHE_PAIRS = 120_000
 #: What a kept word takes besides its bytes and ids.
 ENTRY_BYTES = 200
 #: Bytes of text whose words are sorted together: the more, the more prefixes are shared. Longer texts are cut before a space.
-SORTED_BYTES = 3 << 20
+SORTED_BYTES = 2 << 20
 #: What the score of a character without a piece lies below the least score, as the public library has it.
 UNKNOWN_PENALTY = 10.0
 #: Bits of a piece's code: pieces, then characters without one.

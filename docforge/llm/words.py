@@ -11,12 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 3 << 18
 #: Texts of more characters are cut, at white space or else at what isn't a letter.
 LONG = 1 << 20
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 NO_LETTER = re.compile(r"[\W\d_]")
-RELEASE_BYTES = 8 << 20
+RELEASE_BYTES = 4 << 20
 
 
 def release() -> None:
