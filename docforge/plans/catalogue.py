@@ -5,12 +5,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .engine import compile_filter, documents, interpret, typed
+from ..functions import generators as G
+from ..operators import bits as B
+from ..sources import readers as R
+from ..sources import writers as W
+from ..sources.scratch import scratch
+from . import spans as P
+from .engine import compile_filter, documents, exit_status, interpret, interpret_stream, slurp, typed
+from .nodes import leaf_events, node_table
 
 FLAGSHIP = "group_by_agg"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +237,113 @@ interpreted("environment", "nation", "n_nationkey", '{n_nationkey, a: ($ENV | ty
 interpreted("debug_empty", "nation", "n_nationkey", "select(.n_nationkey < 5) | {n_nationkey, a: (debug | .n_nationkey), b: ([empty, 1] | length), c: (stderr | .n_nationkey), d: (null | type)}", "n_nationkey int, a int, b int, c int, d string", "SELECT n_nationkey, n_nationkey AS a, 1 AS b, n_nationkey AS c, 'null' AS d FROM nation WHERE n_nationkey < 5")
 add("modules", "SELECT n_nationkey, n_nationkey * 2 AS a, n_nationkey + 1 AS b, 7 AS c FROM nation", lambda t: typed(interpret(documents(t("nation").select("n_nationkey")), 'import "m" as m; include "n"; import "d" as $d; {n_nationkey, a: (.n_nationkey | m::twice), b: (.n_nationkey | more), c: $d::d[0].x}', modules={"m": "module {v: 1}; def two: 2; def twice: . * two;", "n": "def more: . + 1;", "d": '{"x": 7}'}), "n_nationkey int, a int, b int, c int"))
 add("modulemeta", "SELECT n_nationkey, '{\"v\":1,\"deps\":[]}' AS m FROM nation", lambda t: typed(interpret(documents(t("nation").select("n_nationkey")), 'import "m" as m; {n_nationkey, m: ("m" | modulemeta | tojson)}', modules={"m": "module {v: 1}; def f: 1;"}), "n_nationkey int, m string"))
+
+
+# Sources and sinks: a table is written in a format and read again.
+
+
+def stored(df: DataFrame, write: Callable[..., None], label: str, **options: object) -> str:
+    path = scratch(df.sparkSession, label)
+    write(df, path, **options)
+    return path
+
+
+def docs_of(t: Callable[[str], DataFrame], source: str, *columns: str) -> DataFrame:
+    return documents(t(source).select(*columns))
+
+
+def read(name: str, sql: str | None, plan: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]) -> None:
+    assert name not in QUERIES, name
+    QUERIES[name] = lambda spark, sf_dir: plan(spark, lambda t: table(spark, sf_dir, t))
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+NATION_SQL = "SELECT n_nationkey, n_name FROM nation"
+NATION = "n_nationkey int, n_name string"
+read("json_scan", "SELECT event_id, event_type FROM events", lambda s, t: typed(interpret(R.json_values(s, stored(docs_of(t, "events", "event_id", "event_type"), W.write_lines, "json")).drop("error"), "."), "event_id long, event_type string"))
+read("json_lines_scan", NATION_SQL, lambda s, t: typed(interpret(R.json_lines(s, stored(docs_of(t, "nation", "n_nationkey", "n_name"), W.write_lines, "jsonl")), "."), NATION))
+read("json_seq", NATION_SQL, lambda s, t: typed(interpret(R.json_seq(s, stored(docs_of(t, "nation", "n_nationkey", "n_name"), W.write_seq, "seq")), "."), NATION))
+read("raw_text", "SELECT n_name || chr(13) AS value FROM nation", lambda s, t: R.raw_lines(s, stored(t("nation").select(F.concat("n_name", F.lit("\r")).alias("value")), W.write_lines, "raw")))
+read("dsv_scan", "SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS text, 2 AS n FROM part", lambda s, t: R.delimited(s, stored(t("part").withColumn("text", F.expr("p_name || ', \"' || p_brand || '\"'")).select(W.csv_line("p_partkey", "text").alias("value")), W.write_lines, "csv")).select(F.expr("cast(row[0] as bigint)").alias("p_partkey"), F.expr("row[1]").alias("text"), F.size("row").alias("n")))
+read("dsv_presets", "SELECT n_nationkey, n_name FROM nation", lambda s, t: R.delimited(s, stored(t("nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("value")), W.write_lines, "tsv"), "tsv", one_line=True).select(F.expr("cast(row[0] as int)").alias("n_nationkey"), F.expr("row[1]").alias("n_name")))
+read("dsv_access", "SELECT 'r0' AS first, 25 AS n", lambda s, t: R.cell(R.record(R.delimited(s, stored(s.range(25).coalesce(1).select(F.format_string("r%d|x", "id").alias("value")), W.write_lines, "psv"), "psv"), 0), 0).select(F.col("value").alias("first"), F.lit(25).alias("n")))
+read("dsv_roundtrip", "SELECT doc_id, coalesce(text, '') AS text FROM documents", lambda s, t: R.delimited(s, stored(t("documents").select(W.csv_line("doc_id", "text").alias("value")), W.write_lines, "docs")).select(F.expr("cast(row[0] as bigint)").alias("doc_id"), F.expr("row[1]").alias("text")))
+read("yaml_scan", "SELECT p_partkey, p_name, p_size FROM part", lambda s, t: typed(interpret(R.yaml_values(s, stored(docs_of(t, "part", "p_partkey", "p_name", "p_size"), W.write_yaml, "yaml")).select("value"), "."), "p_partkey long, p_name string, p_size int"))
+read("yaml_core_schema", "SELECT n_nationkey, '[42,42,42,52,42,0.5,\"1e999\",null,true,\"yes\",\"12\"]' AS v FROM nation", lambda s, t: interpret(R.parse_yaml(t("nation").select(F.col("n_name").alias("file"), F.col("n_nationkey").cast("long").alias("file_idx"), F.lit('[0x2A, 0x2a, 0o52, 052, +42, .5, 1e999, ~, True, yes, "12"]').alias("value"))).select("file_idx", "value"), ".").select(F.col("file_idx").cast("int").alias("n_nationkey"), F.col("value").alias("v")))
+read("yaml_merge_anchors", "SELECT n_nationkey, '{\"a\":' || n_nationkey || ',\"b\":\"own\"}' AS v FROM nation", lambda s, t: interpret(R.parse_yaml(t("nation").select(F.col("n_name").alias("file"), F.col("n_nationkey").cast("long").alias("file_idx"), F.format_string("base: &x\n  a: %d\n  b: old\nitem:\n  <<: *x\n  b: own\n", "n_nationkey").alias("value"))).select("file_idx", "value"), ".item").select(F.col("file_idx").cast("int").alias("n_nationkey"), F.col("value").alias("v")))
+read("input_format", NATION_SQL, lambda s, t: typed(interpret(R.read_values(s, stored(docs_of(t, "nation", "n_nationkey", "n_name"), W.write_lines, "auto"), "json").select("value"), "."), NATION))
+read("doc_n", "SELECT 'b' AS value", lambda s, t: R.document(R.parse_yaml(s.createDataFrame([("f", 0, "a\n---\nb\n---\nc")], "file string, file_idx long, value string")), 1).select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0].alias("value")))
+read("eval_all", "SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation", lambda s, t: typed(interpret(R.eval_all(R.yaml_values(s, stored(docs_of(t, "nation", "n_nationkey", "n_name"), W.write_yaml, "all"))), "{n: length, total: (map(.n_nationkey) | add)}", mode="yq"), "n long, total long"))
+read("front_matter", "SELECT doc_id, 'id: ' || doc_id || chr(10) AS front, coalesce(text, '') AS body FROM documents", lambda s, t: R.front_matter(t("documents").select("doc_id", F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("value"))).select("doc_id", "front", "body"))
+read("null_input", "SELECT 3 AS a", lambda s, t: typed(interpret(R.null_input(s), "{a: ([1, 2] | add)}"), "a int"))
+read("slurp", "SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1", lambda s, t: typed(interpret(slurp(t("orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("value")), ["o_orderkey"], ["o_custkey"]), "{n: length, total: add}"), "n long, total long", ["o_custkey"]))
+read("arguments", "SELECT n_nationkey, n_nationkey + 5 AS a, 'x' AS b, '{\"add\":5,\"name\":\"x\"}' AS named, 'p' AS pos FROM nation", lambda s, t: typed(interpret(docs_of(t, "nation", "n_nationkey"), "{n_nationkey, a: (.n_nationkey + $add), b: $name, named: ($ARGS.named | tojson), pos: $ARGS.positional[0]}", variables={"add": 5, "name": "x", "__positional__": ["p"]}), "n_nationkey int, a int, b string, named string, pos string"))
+read("json_sink", "SELECT n_nationkey, '{' || chr(10) || chr(9) || '\"n_name\": \"' || n_name || '\",' || chr(10) || chr(9) || '\"n_nationkey\": ' || n_nationkey || chr(10) || '}' AS value FROM nation", lambda s, t: W.render(t("nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("value")), sort_keys=True, tab=True))
+read("json_sink_ascii", "SELECT n_nationkey, '\"\\u00e9' || n_name || '\"' AS value FROM nation", lambda s, t: W.render(t("nation").select("n_nationkey", F.concat(F.lit('"é'), "n_name", F.lit('"')).alias("value")), ascii_only=True))
+read("json_sink_raw", "SELECT n_nationkey, n_name AS value FROM nation", lambda s, t: W.render(t("nation").select("n_nationkey", F.concat(F.lit('"'), "n_name", F.lit('"')).alias("value")), raw=True))
+read("json_sink_zero", "SELECT n_name || chr(10) AS value FROM nation", lambda s, t: s.read.option("lineSep", "\x00").text(stored(t("nation").select(F.concat("n_name", F.lit("\n")).alias("value")), W.write_lines, "zero", sep="\x00")))
+read("json_sink_joined", "SELECT sum(length(n_name))::BIGINT AS n FROM nation", lambda s, t: s.read.option("lineSep", "\x00").text(stored(t("nation").select(F.col("n_name").alias("value")), W.write_lines, "joined", sep="")).agg(F.sum(F.length("value")).alias("n")))
+read("json_sink_colour", "SELECT n_nationkey, chr(27) || '[1;39m[' || chr(27) || '[0m' || chr(27) || '[0;39m' || n_nationkey || chr(27) || '[0m' || chr(27) || '[1;39m]' || chr(27) || '[0m' AS value FROM nation", lambda s, t: W.render(t("nation").select("n_nationkey", F.format_string("[%d]", "n_nationkey").alias("value")), colour=True))
+read("preserve_input", "SELECT n_nationkey, '[1.50,1e100,' || n_nationkey || '.0]' AS value FROM nation", lambda s, t: interpret(t("nation").select("n_nationkey", F.format_string("[1.50,1e100,%d.0]", "n_nationkey").alias("value")), ".", preserve=True).select("n_nationkey", "value"))
+read("yaml_sink", "SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name || chr(10) || 'w:' || chr(10) || '  - 1' || chr(10) || '  - \"2\"' AS value FROM nation", lambda s, t: W.to_yaml(t("nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", F.expr("from_json('[1,\"2\"]', 'array<variant>')").alias("w"))).alias("value"))))
+read("yaml_sink_styles", "SELECT n_nationkey, 'a: [1, 2]' || chr(10) || 'b: ''x''' AS value FROM nation", lambda s, t: W.to_yaml(R.parse_yaml(t("nation").select(F.lit("f").alias("file"), F.col("n_nationkey").cast("long").alias("file_idx"), F.lit("a: [1, 2]\nb: 'x'").alias("value"))).select("file_idx", "value", "places"), places="places").select(F.col("file_idx").cast("int").alias("n_nationkey"), "value"))
+read("split_files", "SELECT n_regionkey::VARCHAR AS name, count(*) AS n FROM nation GROUP BY 1", lambda s, t: s.read.schema("value string, name string").text(stored(t("nation").select(F.col("n_regionkey").cast("string").alias("region"), F.col("n_name").alias("value")), W.write_split, "split", name="region")).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+read("exit_status", "SELECT 0 AS ok, 1 AS falsy, 4 AS none, 5 AS bad", lambda s, t: s.createDataFrame([tuple(exit_status(interpret(docs_of(t, "nation", "n_nationkey"), p).withColumn("k", F.lit(1)), ["out_idx"]) for p in (".n_nationkey", "null", "empty", "error"))], "ok int, falsy int, none int, bad int"))
+read("inputs_stream", "SELECT n_regionkey, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1", lambda s, t: typed(interpret_stream(t("nation").select("n_regionkey", "n_nationkey", F.col("n_nationkey").cast("string").alias("value")), "reduce inputs as $x ({n: 0, total: 0}; .n += 1 | .total += $x)", ["n_regionkey"], ["n_nationkey"], null_input=True), "n long, total long", ["n_regionkey"]))
+read("input_pairs", "SELECT n_regionkey, sum(a * b)::BIGINT AS s FROM (SELECT n_regionkey, n_nationkey AS a, lead(n_nationkey) OVER w AS b, row_number() OVER w AS r FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) WHERE r % 2 = 1 GROUP BY 1", lambda s, t: interpret_stream(t("nation").select("n_regionkey", "n_nationkey", F.col("n_nationkey").cast("string").alias("value")), ". * (input? // empty)", ["n_regionkey"], ["n_nationkey"]).groupBy("n_regionkey").agg(F.sum(F.col("value").cast("long")).alias("s")))
+read("load_file", "SELECT n_nationkey, 7 AS a FROM nation", lambda s, t: typed(interpret(docs_of(t, "nation", "n_nationkey"), '{n_nationkey, a: (load("x.yaml") | .a)}', mode="yq", files={"x.yaml": R.load(s, stored(s.createDataFrame([('{"a": 7}',)], "value string"), W.write_lines, "load"))}), "n_nationkey int, a int"))
+read("validate_json", "SELECT event_id, event_id % 2 = 0 AS valid, CASE WHEN event_id % 2 = 1 THEN 1 END::BIGINT AS line FROM events", lambda s, t: R.validate_json(t("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("{\"a\": }")).alias("value"))).select("event_id", "valid", "line"))
+read("validate_yaml", "SELECT n_nationkey, n_nationkey % 2 = 0 AS valid FROM nation", lambda s, t: R.validate_yaml(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.lit("a: 1")).otherwise(F.lit("a: [1")).alias("value"))).select("n_nationkey", "valid"))
+read("validate_utf8", "SELECT n_nationkey, n_nationkey % 2 = 0 AS valid, CASE WHEN n_nationkey % 2 = 1 THEN 2 END::BIGINT AS line, CASE WHEN n_nationkey % 2 = 1 THEN 2 END::BIGINT AS col FROM nation", lambda s, t: R.validate_utf8(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.encode("n_name", "utf-8")).otherwise(F.expr("X'610A62FF'")).alias("value"))).select("n_nationkey", "valid", "line", F.col("column").alias("col")))
+read("generators_suite", "SELECT 51 AS patterns, 510 AS n", lambda s, t: functools.reduce(DataFrame.unionAll, [G.generate(s, k, p, 10) for k in ("json", "yaml", "dsv", "text") for p in G.patterns(k)]).agg(F.lit(sum(len(G.patterns(k)) for k in ("json", "yaml", "dsv", "text"))).alias("patterns"), F.count("value").cast("int").alias("n")))
+read("locate", "SELECT event_id, '.k' AS path FROM events", lambda s, t: P.locate(t("events").select("event_id", "props", (F.instr("props", ":") + 1).cast("long").alias("o")), "props", offset="o").select("event_id", "path"))
+read("locate_position", "SELECT n_nationkey, '.a[1]' AS path FROM nation", lambda s, t: P.locate(t("nation").select("n_nationkey", F.lit('{"a": [1,\n 22]}').alias("j"), F.lit(2).cast("long").alias("l"), F.lit(3).cast("long").alias("c")), "j", line="l", column_number="c").select("n_nationkey", "path"))
+interpreted("at_offset_position", "nation", "n_nationkey; n_name", "{n_nationkey, a: (at_offset(0) | type), b: at_offset(15), c: (at_position(1; 16))}", "n_nationkey int, a string, b int, c int", "SELECT n_nationkey, 'object' AS a, n_nationkey AS b, n_nationkey AS c FROM nation")
+read("value_spans", "SELECT event_id, count(*) AS n, max(length(props))::BIGINT AS stop FROM (SELECT event_id, props, unnest([1, 2]) FROM events) GROUP BY event_id", lambda s, t: P.value_spans(t("events"), "event_id", "props").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max("stop").alias("stop")))
+read("structural_index", "SELECT event_id, 3 AS n, instr(props, ':') - 1 AS colon FROM events", lambda s, t: P.structural_positions(t("events"), "event_id", "props").groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.when(F.col("char") == ":", F.col("pos"))).alias("colon")))
+read("paths_leaf", "SELECT event_id, '[\"' || k || '\"]' AS path, json_extract(props, '$.' || k)::VARCHAR AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)", lambda s, t: leaf_events(node_table(t("events"), "event_id", "props"), "event_id"))
+YAML_NODE = "a: 0x1F # note\nb: &x 'q'\nc: [1, ~]\n"
+read("yaml_places", "SELECT n_nationkey, '[\"!!int\",\"!!str\",\"!!seq\",\"!!null\"]' AS tags, 'x' AS anchor, '[\"single\",\"flow\",\"\"]' AS styles, '[\"scalar\",\"sequence\",\"mapping\"]' AS kinds, '[1,2,3]' AS lines, 4 AS col, 'note' AS note FROM nation",
+     lambda s, t: typed(interpret(R.parse_yaml(t("nation").select(F.lit("f").alias("file"), F.col("n_nationkey").cast("long").alias("file_idx"), F.lit(YAML_NODE).alias("value"))).drop("error"), '{"tags": ([(.a | tag), (.b | tag), (.c | tag), (.c[1] | tag)] | tojson), "anchor": (.b | anchor), "styles": ([(.b | style), (.c | style), (.a | style)] | tojson), "kinds": ([(.a | kind), (.c | kind), kind] | tojson), "lines": ([(.a | line), (.b | line), (.c | line)] | tojson), "col": (.a | column), "note": (.a | line_comment)}', mode="yq"), "tags string, anchor string, styles string, kinds string, lines string, col int, note string", ["file_idx"]).withColumn("n_nationkey", F.col("file_idx").cast("int")).drop("file_idx"))
+read("document_file_index", "SELECT n_nationkey, d AS di, n_nationkey AS fi, 'v' || d AS v FROM nation, (VALUES (0), (1)) x(d)", lambda s, t: typed(interpret(R.parse_yaml(t("nation").select(F.col("n_name").alias("file"), F.col("n_nationkey").cast("long").alias("file_idx"), F.lit("v0\n---\nv1").alias("value"))).select("file_idx", "doc_idx", "value"), '{"di": document_index, "fi": file_index, "v": (split_doc | .)}', mode="yq"), "di int, fi int, v string", ["file_idx"]).withColumn("n_nationkey", F.col("file_idx").cast("int")).drop("file_idx"))
+interpreted("format_yaml_props", "nation", "n_nationkey; n_name", "{\"n_nationkey\": .n_nationkey, \"y\": ({\"a\": [.n_name]} | @yaml), \"p\": ({\"a\": {\"b\": .n_name}, \"c\": [1]} | @props)}", "n_nationkey int, y string, p string", "SELECT n_nationkey, 'a:' || chr(10) || '  - ' || n_name AS y, 'a.b = ' || n_name || chr(10) || 'c.0 = 1' AS p FROM nation", "yq")
+interpreted("format_dsv", "part", "p_partkey; p_name", "{p_partkey, d: ([.p_partkey, .p_name, null] | @dsv(\"|\"))}", "p_partkey long, d string", "SELECT p_partkey, p_partkey || '|\"' || p_name || '\"|' AS d FROM part")
+interpreted("merge_flags", "nation", "n_nationkey; n_regionkey", '{"n_nationkey": .n_nationkey, "a": ([1] *+ [.n_regionkey] | tojson), "b": ({"x": 1} *? {"x": 2, "y": 3} | tojson), "c": ({"x": 1} *n {"x": 2, "y": 3} | tojson), "d": ([{"p": 1}, 2] *d [{"q": .n_regionkey}] | tojson)}', "n_nationkey int, a string, b string, c string, d string", "SELECT n_nationkey, '[1,' || n_regionkey || ']' AS a, '{\"x\":2}' AS b, '{\"x\":1,\"y\":3}' AS c, '[{\"p\":1,\"q\":' || n_regionkey || '},2]' AS d FROM nation", "yq")
+interpreted("time_zones", "events", "event_id; date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS t", '{"event_id": .event_id, "a": (.t | tz("EST")), "b": (.t | tz("+02:00")), "c": (.t | tz("UTC"))}', "event_id long, a string, b string, c string", "SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S-05:00') AS a, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S+02:00') AS b, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS c FROM events", "yq")
+interpreted("halt", "nation", "n_nationkey", "{n_nationkey}, halt, error", "n_nationkey int", "SELECT n_nationkey FROM nation")
+
+# Bits, sequences and trees.
+BIT = "value > 50"
+read("rank_bits", "SELECT event_id, count(*) FILTER (value > 50) OVER w AS rank1, count(*) FILTER (NOT value > 50) OVER w AS rank0 FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", lambda s, t: B.ranks(t("events"), [], "event_id", F.expr(BIT)).select("event_id", "rank1", "rank0"))
+read("select_bits", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, event_id AS pos FROM events WHERE value > 50", lambda s, t: B.select1(t("events"), [], "event_id", F.expr(BIT)).select("k", F.col("event_id").alias("pos")))
+read("select_zeros", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, event_id AS pos FROM events WHERE NOT value > 50", lambda s, t: B.select0(t("events"), [], "event_id", F.expr(BIT)).select("k", F.col("event_id").alias("pos")))
+read("bit_counts", "SELECT count(*) AS len, count(*) FILTER (value > 50) AS count_ones, count(*) FILTER (NOT value > 50) AS count_zeros FROM events", lambda s, t: B.counts(B.words(t("events"), [], "event_id", F.expr(BIT)).crossJoin(F.broadcast(t("events").agg((F.max("event_id") + 1).alias("size")))), [], F.col("size")))
+read("get_bits", "SELECT event_id, value > 50 AS bit FROM events", lambda s, t: t("events").withColumn("word_idx", F.floor(F.col("event_id") / 64)).join(B.words(t("events"), [], "event_id", F.expr(BIT)), "word_idx").select("event_id", B.get_bit("word", "event_id").alias("bit")))
+read("word_operators", "SELECT n_nationkey, bit_count(n_nationkey::BIGINT)::INT AS ones, CASE WHEN n_nationkey = 0 THEN 64 ELSE (SELECT min(i) FROM range(0, 6) r(i) WHERE (n_nationkey >> i::INT) & 1 = 1) END::INT AS first FROM nation", lambda s, t: t("nation").select("n_nationkey", F.bit_count(F.col("n_nationkey").cast("long")).cast("int").alias("ones"), F.expr("cast(n_nationkey as bigint)").alias("w")).select("n_nationkey", "ones", B.select_in_word("w", "0").cast("int").alias("first")))
+EF_SQL = "SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS total, min(l_partkey) AS first, max(l_partkey) FILTER (l_partkey <= 100) AS pred, count(*) FILTER (l_partkey < 100) AS seek FROM lineitem GROUP BY 1"
+read("elias_fano", EF_SQL, lambda s, t: B.elias_fano(t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("v")), "l_orderkey", "v").select("l_orderkey", F.size("high").cast("long").alias("n"), F.aggregate(B.ef_values(), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), B.ef_get("0").alias("first"), B.ef_predecessor("100").alias("pred"), B.ef_seek("100").cast("long").alias("seek")))
+
+
+def parentheses(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Customers with their orders and those's lines as balanced parentheses: k, pos, open."""
+    lines = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("l"))
+    far = 2**62
+    ends = [
+        (t("customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("o"), F.lit(-1).cast("long").alias("l")), F.lit(far), F.lit(far)),
+        (t("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.lit(-1).cast("long").alias("l")), F.col("o"), F.lit(far)),
+        (lines, F.col("o"), F.col("l")),
+    ]
+    every = [x for d, o, last in ends for x in (d.select("k", F.col("o").cast("long").alias("o"), F.col("l").cast("long").alias("l"), F.lit(True).alias("open")), d.select("k", o.cast("long").alias("o"), last.cast("long").alias("l"), F.lit(False).alias("open")))]
+    rows = functools.reduce(DataFrame.unionAll, every)
+    return rows.select("k", (F.row_number().over(Window.partitionBy("k").orderBy("o", "l", F.desc("open"))) - 1).cast("long").alias("pos"), "open", "o", "l")
+
+
+BP_SQL = "WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT o_custkey AS k, o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders WHERE o_custkey IN (SELECT k FROM c)) "
+read("bp_tree", BP_SQL + "SELECT c.k, 1 + count(o_orderkey) + coalesce(sum(n), 0)::BIGINT AS size, count(o_orderkey) AS children, CASE WHEN coalesce(sum(n), 0) > 0 THEN 2 WHEN count(o_orderkey) > 0 THEN 1 ELSE 0 END::BIGINT AS depth FROM c LEFT JOIN o ON o.k = c.k GROUP BY c.k", lambda s, t: B.tree(parentheses(t), ["k"]).groupBy("k").agg(F.max("subtree_size").alias("size"), F.count_if(F.col("parent") == 0).alias("children"), F.max("depth").alias("depth")))
+read("subtree_size", BP_SQL + "SELECT o_orderkey, 1 + n AS size FROM o", lambda s, t: (p := parentheses(t)) and B.tree(p, ["k"]).filter("depth = 1").join(p.filter("open AND l = -1 AND o >= 0"), ["k", "pos"]).select(F.col("o").alias("o_orderkey"), F.col("subtree_size").alias("size")))
+read("bp_navigation", BP_SQL + "SELECT c.k, (2 * (1 + count(o_orderkey) + coalesce(sum(n), 0)) - 1)::BIGINT AS close, CASE WHEN count(o_orderkey) > 0 THEN 1 END::BIGINT AS first_child, greatest(count(o_orderkey) - 1, 0)::BIGINT AS siblings FROM c LEFT JOIN o ON o.k = c.k GROUP BY c.k", lambda s, t: B.tree(parentheses(t), ["k"]).groupBy("k").agg(F.max(F.when(F.col("pos") == 0, F.col("close"))).alias("close"), F.max(F.when(F.col("pos") == 0, F.col("first_child"))).alias("first_child"), F.count_if((F.col("depth") == 1) & F.col("next_sibling").isNotNull()).alias("siblings")))
+read("bp_excess", BP_SQL + "SELECT c.k, 0 AS last, CASE WHEN coalesce(sum(n), 0) > 0 THEN 3 WHEN count(o_orderkey) > 0 THEN 2 ELSE 1 END::BIGINT AS most, 1 + count(o_orderkey) + coalesce(sum(n), 0)::BIGINT AS opens FROM c LEFT JOIN o ON o.k = c.k GROUP BY c.k", lambda s, t: B.excesses(parentheses(t), ["k"]).groupBy("k").agg(F.max_by("excess", "pos").cast("int").alias("last"), F.max("excess").cast("long").alias("most"), F.count_if("open").alias("opens")))
+read("recurse_tree", "SELECT r_regionkey, 1 + count(DISTINCT n_nationkey) + count(c_custkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", lambda s, t: typed(interpret(t("customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("k"))).alias("c")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), "c")).alias("c")).select(F.to_json(F.struct(F.col("n_regionkey").alias("k"), "c")).alias("value")), "{r_regionkey: .k, n: ([recurse(.c[]?)] | length)}"), "r_regionkey int, n long"))
+read("line_column", "SELECT doc_id, length(h) - length(replace(h, chr(10), '')) + 1 AS line, length(h) - coalesce(nullif(length(h) - instr(reverse(h), chr(10)) + 1, length(h) + 1), 0) + 1 AS col, true AS back, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM (SELECT doc_id, text, substr(text, 1, length(text) // 2) AS h FROM documents WHERE text IS NOT NULL)", lambda s, t: t("documents").filter("text IS NOT NULL").withColumn("o", F.expr("cast(length(text) div 2 as bigint)")).withColumn("p", B.to_line_column("text", "o")).select("doc_id", F.col("p.line").alias("line"), F.col("p.column").alias("col"), (B.to_offset("text", "p.line", "p.column") == F.col("o")).alias("back"), B.line_count("text").alias("lines")))
+read("utf8_code_points", "SELECT DISTINCT unicode(c) AS point, strlen(c) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''", lambda s, t: t("documents").select(F.explode(F.split("text", "")).alias("c")).filter("c <> ''").distinct().withColumn("b", F.encode("c", "utf-8")).withColumn("point", B.decode_code_point("b")).withColumn("first", F.expr("cast(conv(hex(substring(b, 1, 1)), 16, 10) as int)")).filter(B.encode_code_point("point") == F.col("b")).select("point", B.sequence_length("first").cast("long").alias("n")))

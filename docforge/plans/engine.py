@@ -21,12 +21,12 @@ __all__ = ["NotTyped", "compile_filter", "exit_status", "interpret", "interpret_
 OUT = [T.StructField("out_idx", T.LongType()), T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]
 
 
-def outputs(tree: tuple, modules: dict, line: str | None, variables: dict | None, mode: str, inputs: Iterator | None = None, info: dict | None = None) -> Iterator[tuple[int, str | None, str | None]]:
+def outputs(tree: tuple, modules: dict, line: str | None, variables: dict | None, mode: str, inputs: Iterator | None = None, info: dict | None = None, preserve: bool = False) -> Iterator[tuple[int, str | None, str | None]]:
     """Number, JSON text and error of each output; an error is the last."""
     n = 0
     try:
-        value = None if line is None else V.load(line)
-        for n, x in enumerate(evaluate_tree(tree, value, variables, inputs, mode, modules, info), 1):  # noqa: B007
+        value = None if line is None else V.load(line, preserve)
+        for n, x in enumerate(evaluate_tree(tree, value, variables, inputs, mode, modules, {**(info or {}), "text": line or ""}), 1):  # noqa: B007
             yield n - 1, V.dump(x), None
     except V.Raised as r:
         yield n, None, V.text(r.value)
@@ -41,22 +41,23 @@ def outputs(tree: tuple, modules: dict, line: str | None, variables: dict | None
         yield n, None, str(bad)
 
 
-def interpret(df: DataFrame, program: str, column: str = "value", variables: dict | None = None, mode: str = "jq", modules: Mapping[str, str] | None = None) -> DataFrame:
+def interpret(df: DataFrame, program: str, column: str = "value", variables: dict | None = None, mode: str = "jq", modules: Mapping[str, str] | None = None, files: Mapping[str, object] | None = None, preserve: bool = False) -> DataFrame:
     """Every output of a filter on the JSON texts of a column: out_idx, value (JSON text) and error, after df's other columns.
 
     Outputs before an error stay; bad JSON is an error row, and a null text is the null value. Runs on Arrow batches, with no shuffle. Columns
-    doc_idx and file_idx, where df has them, are what document_index and file_index give.
+    doc_idx and file_idx, where df has them, are what document_index and file_index give, and places what tag, line and others do.
+    files has the values that load gives, by name; preserve keeps the spelling of numbers.
     """
     tree, known = resolve(program, modules)  # errors in the filter come here, not from an executor
     others = [f for f in df.schema.fields if f.name not in (column, *(o.name for o in OUT))]
-    places = [f.name for f in others if f.name in ("doc_idx", "file_idx")]
+    places = [f.name for f in others if f.name in ("doc_idx", "file_idx", "places")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, keep = [], []
             where = [b.column(p).to_pylist() for p in places]
             for k, line in enumerate(b.column(column).to_pylist()):
-                for out in outputs(tree, known, line, variables, mode, None, {p: w[k] for p, w in zip(places, where, strict=True)}):
+                for out in outputs(tree, known, line, variables, mode, None, {"files": files} | {p: w[k] for p, w in zip(places, where, strict=True)}, preserve):
                     rows.append(out)
                     keep.append(k)
             at = pa.array(keep, pa.int64())
