@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import bit_filter, materialise, through, without
 
 #: Five tokens count in each mask, at these places.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 7), (0, 2, 3, 5, 6))
@@ -50,8 +50,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
     They overlap if in some window of 20 tokens of the item (of all its tokens, if it is
     shorter), laid over the document, at least four fifths of the tokens are equal; items shorter than
-    a seed must occur as they are. Of several places the best is given, then the first. Null
-    and empty texts overlap with nothing, as does a null doc_id; repeated rows count once. Clean documents have no row.
+    a seed must occur as they are. The masks leave no allowed substitution without a hit in items of up to 20 tokens, which a test enumerates; longer
+    ones have windows of 20. Of several places the best is given, then the first. Null
+    and empty texts overlap with nothing, as does a null doc_id; repeated rows count once. Clean documents have no row; a benchmark of more than
+    BROADCAST_SEEDS seeds is joined by a shuffle, with the same result.
     """
     ids = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     items = materialise(
@@ -71,10 +73,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     seeds = materialise(seeds.select("item_id", F.col("place").alias("item_place"), "key").distinct(), "benchmark-seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     places = _seeds(ids.select("doc_id", tokens(F.col("text")).alias("h")), masks, ["doc_id"])
-    hits = places.join(F.broadcast(seeds) if small else seeds, "key")
     start = F.col("place") - F.col("item_place")
-    if not small:  # without the tokens, which would travel with each position
-        hits = hits.drop("h")
+    if small:
+        hits = places.join(F.broadcast(seeds), "key")
+    else:  # only positions that the filter lets through are sent, and without the tokens, which would travel with each
+        times = materialise(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "benchmark-keys")
+        hits = through(places.drop("h"), "key", bit_filter(times, "key")).join(seeds, "key")
     hits = hits.withColumn("start", start)
     items_n = items.select("item_id", "item")
     if small:
@@ -106,5 +110,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without those that overlap with an item; a row whose id is null stays."""
+    """The rows of docs, with all their columns, without those that overlap with an item.
+
+    Rows that share a doc_id go together; a row whose id or text is null stays, as does each repeated clean row, and an empty table stays empty.
+    """
     return without(docs, contaminated(docs, benchmark))
