@@ -237,7 +237,7 @@ def number_function(f: Callable[[Column], Column], t: T.DataType | None = None)
             return Typed(given(v, "null (null) number required", ("number",)), v.type)
         c = given(v, "null (null) number required", ("number",)).cast("double")
         if t is None:  # a whole number, which must fit 64 bits
-            c = fail(F.isnan(c) | (F.abs(c) >= 2.0**53), "number out of range", c)
+            c = fail(F.isnan(c) | (F.abs(c) >= 2.0**63), "number out of range", c)
             return Typed(f(c).cast("long"), T.LongType())
         return Typed(f(c), t)
 

@@ -108,24 +108,26 @@ def _key(node: Any) -> str:
     if node.id == "scalar":
         value, _ = scalar(node.value, node.spelled, node.style is None)
         return value if isinstance(value, str) else node.value
-    return str(node.value)
+    return _flow(_built(node, [], [""], [], {}))
 
 
 def _built(node: Any, path: list, lines: list[str], places: list[list], seen: dict[int, Any]) -> Any:
     mark = node.start_mark
     style = {"'": "single", '"': "double", "|": "literal", ">": "folded"}.get(node.style, "") if node.id == "scalar" else "flow" if node.flow_style else ""
-    spot = [path, "", node.anchor, style, node.id, mark.line + 1, mark.column + 1, ""]
+    alias = id(node) in seen
+    spot = [path, "", "" if alias else node.anchor, style, node.id, mark.line + 1, mark.column + 1, ""]
     places.append(spot)
     if node.id == "scalar":
         value, spot[1] = scalar(node.value, node.spelled, node.style is None)
+        seen[id(node)] = value
         end = node.end_mark
         rest = lines[end.line][end.column :] if end.line < len(lines) and not (node.style in ("|", ">")) else ""
         found = COMMENT.search(rest)
         spot[7] = found[1].rstrip() if found and not rest[: found.start()].strip(" ,]}") else ""
         return value
-    if id(node) in seen:
-        return seen[id(node)]
     spot[1] = {"mapping": "!!map", "sequence": "!!seq"}[node.id] if node.tag.startswith(PREFIX) else node.tag
+    if alias:
+        return seen[id(node)]
     if node.id == "sequence":
         seen[id(node)] = out = []
         out += [_built(x, [*path, k], lines, places, seen) for k, x in enumerate(node.value)]

@@ -28,7 +28,7 @@ SAFE = [
     ".a | add", ".w | add", ".a | first", ".w | last", ".m | keys", ".m | to_entries", ".a | any", ".a | all", ".i | type", ".b | type", ".missing | type", ".o | type", ".i | isnumber", ".b | isboolean", ".missing | isnull", ".s | isstring",
     ".s | startswith(\"a\")", ".s | endswith(\"c\")", ".s | contains(\"b\")", ".s | split(\" \")", ".s | split(\"\")", ".s / .t", ".w | join(\"-\")", ".a | join(\",\")", ".m | has(\"p\")", ".a | has(1)", ".s | ltrimstr(\"a\")", ".s | rtrimstr(\"c\")", ".s | ltrimstr(\"\")",
     ".s | test(\"b\")", ".s | test(\"^[a-c]+\")", ".a | map(. == null)", ".w | map(length)", ".a | map(select(. != null))", ".a | map(select(. > 1) | . + 1)", "[.a[] | . == 1]", ".a | any(. == 1)", ".a | all(. == 1)",
-    ".i as $x | [$x, $x + 1]", ".a - [1]", ".w - [\"b\"]", ".aa | flatten", "pow(.i; 2) | floor", ".i | todate", ".i = 3 | .i", ".i |= . + 1 | .i", ".n += 1 | .n", ".b //= true | .b", "del(.i) | .i", "(.i, .n)", ".a[]", ".w | length > 1 and (.[0] == \"b\")",
+    ".i as $x | [$x, $x + 1]", ".a - [1]", ".w - [\"b\"]", ".aa | flatten", "pow(.o.x // 2; 2) | floor", ".i | todate", ".i = 3 | .i", ".i |= . + 1 | .i", ".n += 1 | .n", ".b //= true | .b", "del(.i) | .i", "(.i, .n)", ".a[]", ".w | length > 1 and (.[0] == \"b\")",
 ]
 #: Filters that the interpreter fails on for each row: the plan must fail too.
 FAILING = [".missing - 1", ".i / 0", ".i % 0", ".missing | ascii_downcase", ".missing | sort", ".missing | map(.)", ".missing | floor", ".missing | startswith(\"a\")", "error(\"x\")"]
