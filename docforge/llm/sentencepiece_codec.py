@@ -5,7 +5,8 @@ forward state of each prefix is computed once and reused by all words that conti
 and the last piece of the path that has it. A unigram model's paths score the sum of their pieces. A byte-pair
 model's scores are merge ranks, whose sum says nothing; there a path scores 0 if merging leaves each of its neighbouring
 pieces as they are, else minus infinity, and exactly one path to each prefix has 0, so only its last
-piece is kept. Both give the ids that the public library gives.
+piece is kept. Both give the ids that the public library gives, but that paths of a unigram model with equal scores, like those through
+a run of spaces in pieces of one and of two, are decided there by the rounding of the whole text's score.
 """
 
 from __future__ import annotations
@@ -73,16 +74,19 @@ def model_type(model: bytes) -> int:
     return UNIGRAM
 
 
-def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def marked_words(texts: pa.Array, split: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and how many each text has. A word takes the spaces before it; the first is the marker that every text gets.
 
-    The words are offsets into one buffer, so no object is made for each of them.
+    The words are offsets into one buffer, so no object is made for each of them. Without `split` each text is one word.
     """
     there = np.asarray(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
     marked = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.filter(pa.array(there)).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
     count = np.zeros(len(texts), np.int64)
     if not len(marked):
         return pa.array([], pa.large_binary()), count
+    if not split:
+        count[there] = 1
+        return marked.cast(pa.large_binary()), count
     _, offsets, data = marked.buffers()
     begins = np.frombuffer(offsets, np.int64)[marked.offset : marked.offset + len(marked) + 1]
     space = np.frombuffer(data, np.uint8)[: begins[-1]] == 32
@@ -126,6 +130,8 @@ class Codec:
         self.unknown, self.n = sp.unk_id(), n
         self.unigram = model_type(model) == UNIGRAM
         self.longest = max(map(len, self.ids), default=1)
+        #: Whether texts fall into words that no piece crosses: a space is only at the beginning of a piece.
+        self.split = not any(" " in p.lstrip(" ") for p in self.ids)
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.bytes: list[bytes] = [x.encode() for x in self.names]
         for b, i in self.byte.items():
@@ -168,17 +174,18 @@ class Codec:
             self.names.append(c)
         return code
 
-    def by_score(self, word: str, end: int, best: list[float]) -> tuple[int, float]:
-        """The last piece and score of the best path to the word's first `end` characters, the one that starts first of equals."""
-        code, most = -1, -np.inf
+    def by_score(self, word: str, end: int, best: array) -> tuple[int, float]:
+        """The last piece and score, in single precision as the library has it, of the best path to the word's first `end` characters; of equals the piece that starts first."""
+        code, most, total = -1, -np.inf, array("f", [0.0])
         for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
             if (s := self.score.get(piece)) is None:
                 if end - start > 1:
                     continue
                 s = self.least
-            if best[start] + s > most:
-                code, most = self.whole.get(piece, -1), best[start] + s
+            total[0] = best[start] + s
+            if total[0] > most:
+                code, most = self.whole.get(piece, -1), total[0]
         return (self.char(word[end - 1 : end]) if code < 0 else code), most
 
     def by_pairs(self, word: str, end: int, last: list[int] | array) -> int:
@@ -201,7 +208,7 @@ class Codec:
     def words(self, distinct: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """The ids, as 32-bit numbers, of each word, in sorted order. last[i] and best[i], the forward state of the word's first i characters, outlive the word as far as the next one shares them."""
         last: list[int] | array = [0]
-        best, before, names, n = [0.0], "", self.names, self.n
+        best, before, names, n = array("f", [0.0]), "", self.names, self.n
         for raw in sorted(distinct):
             word = raw.decode()
             shared, most = 0, min(len(word), len(before))
@@ -237,7 +244,7 @@ class Codec:
     def encode(self, texts: pa.Array | list[str | None], cache: dict[bytes, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more at the end)."""
         cache = {} if cache is None else cache
-        found, count = marked_words(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        found, count = marked_words(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, self.split)
         coded = found.dictionary_encode()
         codes = np.asarray(coded.indices)
         distinct = coded.dictionary.to_pylist()
@@ -295,7 +302,7 @@ def tokenise(docs: DataFrame, model: str | bytes | None = None) -> DataFrame:
         codec, cache = _codec(shared.value)
         for b in gathered(batches, SORTED_BYTES):
             for start, part in pieces(b.column("text"), SORTED_BYTES):
-                texts = list(cuts(part[0].as_py(), SORTED_BYTES)) if len(part) == 1 and part[0].is_valid else [t or "" for t in part.to_pylist()]
+                texts = list(cuts(part[0].as_py(), SORTED_BYTES)) if codec.split and len(part) == 1 and part[0].is_valid else [t or "" for t in part.to_pylist()]
                 ids, same = [], []
                 for group in [[t] for t in texts] if len(part) == 1 else [texts]:
                     found, begins = codec.encode(group, cache)
