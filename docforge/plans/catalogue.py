@@ -72,7 +72,7 @@ interpreted("slice_computed", "benchmark", "item_id; split(text, ' ') AS w", "(.
 interpreted("index_computed_key", "nation", "n_nationkey; n_name; n_regionkey", '("n_name", "n_regionkey") as $k | {n_nationkey, k: $k, v: (.[$k] | tostring)}', "n_nationkey int, k string, v string", "SELECT n_nationkey, 'n_name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', n_regionkey::VARCHAR FROM nation")
 interpreted("object_computed_key", "nation", "n_nationkey; n_name", '{n_nationkey, o: ({(.n_name): .n_nationkey} | tojson)}', "n_nationkey int, o string", "SELECT n_nationkey, '{\"' || n_name || '\":' || n_nationkey || '}' AS o FROM nation")
 interpreted("object_product", "region", "r_regionkey; r_name", "{r_regionkey, a: (1, 2), b: (3, 4)}", "r_regionkey int, a int, b int", "SELECT r_regionkey, a, b FROM region, (VALUES (1), (2)) x(a), (VALUES (3), (4)) y(b)")
-interpreted("optional_errors", "events", "event_id; props", "{event_id, x: ([.event_id.a?, (.props | fromjson | .k?), .props[]?] | length)}", "event_id long, x int", "SELECT event_id, 1 AS x FROM events")
+interpreted("try_optional", "events", "event_id; props", "{event_id, x: ([.event_id.a?, (.props | fromjson | .k?), .props[]?] | length)}", "event_id long, x int", "SELECT event_id, 1 AS x FROM events")
 interpreted("collect_outputs", "nation", "n_nationkey; n_regionkey", "{n_nationkey, s: ([.n_nationkey, .n_regionkey, (.n_nationkey + .n_regionkey)] | tojson)}", "n_nationkey int, s string", "SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ',' || (n_nationkey + n_regionkey) || ']' AS s FROM nation")
 interpreted("recurse_all", "events", "event_id; from_json(props, 'k int') AS p; array(1, 2) AS a", "{event_id, n: ([..] | length), numbers: ([.. | numbers] | length), sum: ([.. | numbers] | add)}", "event_id long, n int, numbers int, sum long", "SELECT event_id, 7 AS n, 4 AS numbers, event_id + json_extract_string(props, '$.k')::BIGINT + 3 AS sum FROM events")
 interpreted("getpath_json", "events", "event_id; props", '{event_id, k: (.props | fromjson | getpath(["k"])), none: (.props | fromjson | getpath(["a", "b"]) == null)}', "event_id long, k long, none boolean", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, true AS none FROM events")
