@@ -6,6 +6,8 @@ before them, show every repeat. Tasks sort their suffixes into runs and send the
 the prefix it shares with the one before; loser trees merge the runs and never compare a prefix
 again that is known to be common. In merged order, strings of any split into
 bytes before and after the anchor are equal where both neighbours' common prefixes are long enough.
+Suffixes with the same gram meet in one merging task. Where a gram is too frequent for that, as at the edges of a passage that very many
+texts have, its suffixes that no run shows to be equal are compared by an aggregation instead, which has no limit: one key for each split.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, split_by
+from .common import bit_filter, join_spread, materialise, split_by
 from .words import mixed
 
 LENGTH, GRAM, WINDOW = 100, 32, 64
@@ -30,6 +32,10 @@ BEFORE = WINDOW - 1
 FILTER_BITS = 26
 #: Suffixes of a run, and of one merging task.
 RUN, MERGE = 100_000, 150_000
+#: Grams that aren't merged are at most so many, and each has more suffixes than a merging task.
+MOST_HOT = 1_000_000
+#: Suffixes whose splits are hashed at a time.
+SPLITS = 4_000
 #: Bytes that are hashed at a time; longer texts are cut with overlap.
 PIECE = 1 << 20
 KEY = LENGTH + 1 + BEFORE + 1
@@ -92,8 +98,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield found()
 
 
-def _repeated(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter of grams at anchors that occur at least twice in the table, and how many occurrences those have."""
+def _repeated(docs: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
+    """The filter of grams at anchors that occur at least twice in the table, how many occurrences those have, and the grams that are too frequent to be merged, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,6 +108,7 @@ def _repeated(docs: DataFrame) -> tuple[np.ndarray, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(times)], ["gram", "n"])
 
     twice = docs.select("bytes").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    twice = materialise(twice, "suffix-grams")
     bit = F.pmod("gram", F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
     slabs = twice.groupBy(F.bitmap_bucket_number(bit).alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"), F.sum("n").alias("n"))
     out, total = np.zeros(1 << FILTER_BITS - 3, np.uint8), 0
@@ -109,7 +116,8 @@ def _repeated(docs: DataFrame) -> tuple[np.ndarray, int]:
         start = (r["slab"] - 1) * 4096
         out[start : start + 4096] = np.frombuffer(r["bitmap"], np.uint8)
         total += r["n"]
-    return out, total
+    hot = twice.filter(F.col("n") > max(MERGE, total // MOST_HOT)).select("gram").toArrow().column("gram")
+    return out, total, np.sort(np.asarray(hot).astype(np.int64).view(np.uint64))
 
 
 def contexts(data: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -246,9 +254,13 @@ SPANS = "owner long, mark long, start int, stop int"
 RUNS = "part int, n int, lcp binary, tails binary, owner binary, mark binary, place binary, gone binary"
 
 
-def _runs(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
-    """Sorted, front-coded runs of suffixes, one for each merging task, with a share of the spans that the run itself shows to be repeated."""
+def _runs(docs: DataFrame, bitmap: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+    """Sorted, front-coded runs of suffixes, one for each merging task, with a share of the spans that the run itself shows to be repeated.
+
+    Suffixes with a hot gram are a run of their own, with -1 as the task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    frequent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -264,9 +276,9 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
             gone = np.flatnonzero(again & (least <= most))
             spans = np.stack([owner[gone], mark[gone], place[gone] - most[gone], place[gone] - np.maximum(least[gone], 0) + LENGTH], 1)
             stay = np.flatnonzero(~again & (least <= most))
-            part = (grams % np.uint64(parts)).astype(np.int64)
+            part = np.where(np.isin(grams, frequent.value), -1, (grams % np.uint64(parts)).astype(np.int64))
             stay = stay[np.argsort(part[stay], kind="stable")]
-            cuts = np.append(np.flatnonzero(np.diff(part[stay], prepend=-1)), len(stay))
+            cuts = np.append(np.flatnonzero(np.diff(part[stay], prepend=-2)), len(stay))
             rows = []
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 own = stay[a:b]
@@ -316,10 +328,62 @@ def _merge(b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": spans[:, 0], "mark": spans[:, 1], "start": spans[:, 2].astype(np.int32), "stop": spans[:, 3].astype(np.int32)})
 
 
+def split_keys(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of bytes before the anchor: which keys have a 100-byte string with it, and two hashes of that string."""
+    least, most = reach(keys)
+    hashes = []
+    for seed in (1, 2):
+        factor = _table[seed] | np.uint64(1)
+        after, before = np.zeros((LENGTH + 1, len(keys)), np.uint64), np.zeros((BEFORE + 1, len(keys)), np.uint64)
+        for k in range(LENGTH):
+            after[k + 1] = after[k] * factor + _table[keys[:, k]]
+        for k in range(BEFORE):
+            before[k + 1] = before[k] * factor + _table[keys[:, LENGTH + 1 + k]]
+        hashes.append((after, before, factor))
+    for d in range(BEFORE + 1):
+        fits = np.flatnonzero((least <= d) & (most >= d))
+        x, y = (mixed(mixed(after[LENGTH - d][fits] + np.uint64(d)) * factor + before[d][fits]) for after, before, factor in hashes)
+        yield fits, x, y
+
+
+def _compared(hot: DataFrame) -> DataFrame:
+    """The spans of suffixes with hot grams: for each split, all but the first of equal strings are repeats; and the spans that came with them."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                tails, lcp = unpacked(r["tails"]), np.frombuffer(r["lcp"], np.uint8)
+                keys = np.frombuffer(b"".join(k for k, _ in LoserTree._decoded(lcp, tails)), np.uint8).reshape(-1, KEY)
+                owner, mark, place = (np.frombuffer(r[c], t) for c, t in (("owner", np.int64), ("mark", np.int64), ("place", np.int32)))
+                for at in range(0, len(keys), SPLITS):
+                    own = slice(at, at + SPLITS)
+                    for d, (fits, x, y) in enumerate(split_keys(keys[own])):
+                        if len(fits):
+                            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(owner[own][fits]), pa.array(mark[own][fits]), pa.array(place[own][fits]), pa.array(np.full(len(fits), d, np.int32))], ["x", "y", "owner", "mark", "place", "d"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("gone").to_pylist():
+                spans = np.frombuffer(unpacked(x), np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.array(spans[:, 2].astype(np.int32)), pa.array(spans[:, 3].astype(np.int32))], ["owner", "mark", "start", "stop"])
+
+    strings = hot.mapInArrow(listed, "x long, y long, owner long, mark long, place int, d int")
+    place = F.struct("owner", "mark", "place")
+    first = strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    first = materialise(first, "suffix-first")
+    again = join_spread(strings, first, ["x", "y"], "n", "mark").filter(place > F.col("first"))
+    found = again.groupBy("owner", "mark", "place").agg((F.col("place") - F.max("d")).alias("start"), (F.col("place") - F.min("d") + LENGTH).alias("stop"))
+    return found.select("owner", "mark", "start", "stop").unionByName(hot.mapInArrow(sent, SPANS))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """owner, mark, start, stop: byte ranges of docs(owner, mark, bytes) whose 100-byte strings start earlier too. Ranges of a text may overlap."""
-    bitmap, total = _repeated(docs)
-    return _runs(docs, bitmap, max(1, -(-total // MERGE))).groupBy("part").applyInPandas(_merge, SPANS)
+    bitmap, total, hot = _repeated(docs)
+    runs = _runs(docs, bitmap, hot, max(1, -(-total // MERGE)))
+    if not len(hot):
+        return runs.groupBy("part").applyInPandas(_merge, SPANS)
+    runs = materialise(runs, "suffix-runs", compression="none")
+    return runs.filter("part >= 0").groupBy("part").applyInPandas(_merge, SPANS).unionByName(_compared(runs.filter("part = -1")))
 
 
 def _once(docs: DataFrame) -> DataFrame:
@@ -339,7 +403,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Each byte in a 100-byte string that also starts earlier, in a document of smaller id or
     earlier in the same one, is removed; strings are judged on the input. Null texts are empty, a null doc_id comes last. Rows
     that repeat both doc_id and text are one document, and come out alike; of rows with an
-    id and different texts, one is the earlier. An empty table gives an empty result; other columns don't matter.
+    id and different texts, one is the earlier. Long texts are hashed in pieces. An empty table gives an empty result; other columns don't matter.
     """
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("owner"), _text_mark().alias("mark"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))

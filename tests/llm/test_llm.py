@@ -62,7 +62,9 @@ def test_parity_is_a_lower_bound():
         assert jaccard_join.unlike(jaccard_join.parity(a), jaccard_join.parity(b)) <= len(np.setxor1d(a, b))
 
 
-def test_suffix_dedup_is_exact(spark):
+@pytest.mark.parametrize("most", [suffix_dedup.MERGE, 12, 1])
+def test_suffix_dedup_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MERGE", most)  # grams with more suffixes are aggregated
     r = random.Random(5)
     passage = "".join(r.choices("abcdé ", k=260))
     texts = ["".join(r.choices("abcd ", k=r.choice([0, 90, 300]))) + r.choice([passage, passage[40:200], ""]) + "".join(r.choices("xyz", k=50)) for _ in range(30)]
