@@ -1,4 +1,4 @@
-"""Operators of the filter language on tables: keyed firsts, top-k, nesting, as-of joins, bit ranks."""
+"""Operators of the filter language on tables: keyed firsts, top-k and as-of joins."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.writers import csv_line
-
 
 def unique_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key; a minimum, so tasks combine before they send."""
@@ -21,10 +19,6 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def nested(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str]) -> DataFrame:
-    """Rows gathered into an array of structs for each key, in the columns' order."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """left with the right's values of the last row of its keys not after it: one sort of both, no pairs."""
@@ -33,20 +27,3 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
     )
     w = Window.partitionBy(*keys).orderBy(at, "_o").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_o = 1").select("_l.*", *(F.col(f"_last.{v}").alias(f"right_{v}") for v in values))
-
-
-def rank1(df: DataFrame, keys: Sequence[str], order: Sequence[str], bit: Column) -> DataFrame:
-    """How many bits are set before each position."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("rank1", F.coalesce(F.sum(bit.cast("long")).over(before), F.lit(0)))
-
-
-def select1(df: DataFrame, keys: Sequence[str], order: Sequence[str], bit: Column) -> DataFrame:
-    """The rows of set bits with their position and how many are set before it: the inverse of rank1."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    spot = df.select(*keys, bit.alias("_bit"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.coalesce(F.sum(bit.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("k"))
-    return spot.filter("_bit").drop("_bit")
-
-
-def with_csv(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    return df.withColumn(name, csv_line(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +26,22 @@ def node_table(df: DataFrame, key: str, column: str) -> DataFrame:
                 todo += [(y, n, depth + 1, k, [*path, name]) for k, (name, y) in reversed(list(enumerate(V.items(x))))]
             n += 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [key, *("name" if c.split()[0] == "key" else c.split()[0] for c in COLUMNS.split(", "))]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in COLUMNS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, line in zip(b[key], b[column], strict=True):
+            rows, keep = [], []
+            for k, line in enumerate(b.column(column).to_pylist()):
                 try:
-                    rows += [(k, *r) for r in visit(json.loads(line))] if line is not None else []
+                    found = [] if line is None else list(visit(json.loads(line)))
                 except ValueError:
                     continue
-            out = pd.DataFrame(rows, columns=[key, *(c.split()[0] if c.split()[0] != "key" else "name" for c in COLUMNS.split(", "))])
-            yield out.astype({"parent_id": "Int64"})
+                rows += found
+                keep += [k] * len(found)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keep, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
 
-    return df.select(key, column).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {COLUMNS.replace(' key string', ' name string')}")
+    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {COLUMNS.replace(' key string', ' name string')}")
 
 
 def leaf_events(nodes: DataFrame, key: str) -> DataFrame:
