@@ -253,7 +253,7 @@ def row_stage(e: tuple, s: State) -> State:  # noqa: C901, PLR0911
             v = value(inner, s.here, s.scope)
             if not isinstance(v.type, T.ArrayType):
                 raise NotTyped(e)
-            error = F.when(v.column.isNull(), F.raise_error(F.lit("Cannot iterate over null"))).otherwise(v.column)
+            error = F.when(v.column.isNull(), F.raise_error(F.lit("Cannot iterate over null (null)"))).otherwise(v.column)
             df = s.df.select(*s.df.columns, F.explode(error).alias("_item"))
             item = Typed(F.col("_item"), v.type.elementType)
             return projected(replace(s, df=df), item) if not s.scope else replace(s, df=df, here=item)

@@ -70,7 +70,7 @@ def literal(x: object) -> Typed:
         if isinstance(x, python):
             if python is int and not -(2**63) <= x < 2**63:
                 raise NotTyped(x)
-            return Typed(F.lit(x).cast(t), t)
+            return Typed(F.lit(float(x) if python is float else x).cast(t), t)
     if isinstance(x, list):
         items = [literal(y) for y in x]
         return collected(items)
@@ -184,7 +184,8 @@ def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     if a.kind == "number":
         if op in ("-", "*"):
             return Typed(fail(missing, message, x - y if op == "-" else x * y), t)
-        zero = "number and number (0) cannot be divided because the divisor is zero"
+        rest = " (remainder)" if op == "%" else ""
+        zero = f"number and number (0) cannot be divided{rest} because the divisor is zero"
         if op == "/":
             x, y = x.cast("double"), y.cast("double")
             return Typed(fail(missing, message, fail(y == 0, zero, F.try_divide(x, y))), T.DoubleType())
@@ -281,8 +282,8 @@ def _flatten(v: Typed) -> Typed:
             if not isinstance(e, T.ArrayType) or kind(e.elementType) == "array":
                 raise NotTyped("flatten")
             one = F.array(F.lit(None).cast(e.elementType))
-            return Typed(F.flatten(F.transform(fail(v.column.isNull(), "Cannot iterate over null", v.column), lambda x: F.coalesce(x, one))), T.ArrayType(e.elementType, True))
-        return Typed(fail(v.column.isNull(), "Cannot iterate over null", v.column), v.type)
+            return Typed(F.flatten(F.transform(fail(v.column.isNull(), "Cannot iterate over null (null)", v.column), lambda x: F.coalesce(x, one))), T.ArrayType(e.elementType, True))
+        return Typed(fail(v.column.isNull(), "Cannot iterate over null (null)", v.column), v.type)
     raise NotTyped("flatten")
 
 
@@ -298,7 +299,7 @@ def _keys(v: Typed) -> Typed:
 def _to_entries(v: Typed) -> Typed:
     if isinstance(v.type, T.MapType) and v.kind == "object":
         t = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", v.type.valueType)]))
-        return Typed(F.transform(F.map_entries(fail(v.column.isNull(), "Cannot iterate over null", v.column)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), t)
+        return Typed(F.transform(F.map_entries(fail(v.column.isNull(), "Cannot iterate over null (null)", v.column)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), t)
     raise NotTyped("to_entries")
 
 
@@ -334,7 +335,7 @@ def _type(v: Typed) -> Typed:
 
 def _some(f: Callable[[Column, Callable[[Column], Column]], Column]) -> Callable[[Typed], Typed]:
     def call(v: Typed) -> Typed:
-        c = given(v, "Cannot iterate over null", ("array",))
+        c = given(v, "Cannot iterate over null (null)", ("array",))
         return Typed(f(c, lambda x: truth(Typed(x, v.type.elementType))), T.BooleanType())
 
     return call
@@ -367,12 +368,12 @@ UNARY: dict[str, Callable[[Typed], Typed]] = {
     "tanh": number_function(F.tanh, T.DoubleType()),
     "tostring": lambda v: Typed(text(v), T.StringType()),
     "utf8bytelength": lambda v: Typed(F.octet_length(given(v, "null (null) only strings have UTF-8 byte length", ("string",))).cast("long"), T.LongType()),
-    "ascii_downcase": _string(lambda c: F.translate(c, UPPER, LOWER), "ascii_downcase input must be a string"),
-    "ascii_upcase": _string(lambda c: F.translate(c, LOWER, UPPER), "ascii_downcase input must be a string"),
+    "ascii_downcase": _string(lambda c: F.translate(c, UPPER, LOWER), "explode input must be a string"),
+    "ascii_upcase": _string(lambda c: F.translate(c, LOWER, UPPER), "explode input must be a string"),
     "trim": _string(lambda c: F.trim(c, F.lit(SPACES)), "null (null) cannot be trimmed"),
     "ltrim": _string(lambda c: F.ltrim(c, F.lit(SPACES)), "null (null) cannot be trimmed"),
     "rtrim": _string(lambda c: F.rtrim(c, F.lit(SPACES)), "null (null) cannot be trimmed"),
-    "explode": _string(lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long")), "null (null) cannot be exploded", T.ArrayType(T.LongType(), True)),
+    "explode": _string(lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long")), "explode input must be a string", T.ArrayType(T.LongType(), True)),
     "reverse": _reverse,
     "sort": _of_array(lambda c, _: in_order(c), "null (null) cannot be sorted, as it is not an array"),
     "unique": _of_array(lambda c, _: in_order(F.array_distinct(c)), "null (null) cannot be sorted, as it is not an array"),
@@ -402,7 +403,7 @@ def _join(v: Typed, separator: Typed) -> Typed:
     if not isinstance(v.type, T.ArrayType) or separator.kind != "string":
         raise NotTyped("join")
     e = v.type.elementType
-    cells = F.transform(given(v, "Cannot iterate over null", ("array",)), lambda x: F.when(x.isNull(), "").otherwise(text(Typed(x, e))))
+    cells = F.transform(given(v, "Cannot iterate over null (null)", ("array",)), lambda x: F.when(x.isNull(), "").otherwise(text(Typed(x, e))))
     return Typed(F.aggregate(cells, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, separator.column, x)), lambda a: F.coalesce(a, F.lit(""))), T.StringType())
 
 
@@ -491,7 +492,7 @@ def value(e: tuple, here: Typed, scope: Scope) -> Typed:  # noqa: C901, PLR0911,
             return value(("call", "map", [body]), value(a, here, scope), scope)
         case ("collect", ("iterate", a)):
             v = value(a, here, scope)
-            return Typed(given(v, "Cannot iterate over null", ("array",)), v.type)
+            return Typed(given(v, "Cannot iterate over null (null)", ("array",)), v.type)
         case ("string", parts, None):
             return Typed(F.concat(*(F.lit(p) if isinstance(p, str) else text(value(p, here, scope)) for p in parts)), T.StringType())
         case ("call", name, []) if name in UNARY:
@@ -534,7 +535,7 @@ def _integer(e: tuple) -> int:
 def mapped(v: Typed, take: bool, f: tuple, scope: Scope) -> Typed:
     if not isinstance(v.type, T.ArrayType):
         raise NotTyped("map")
-    c, kinds = given(v, "Cannot iterate over null", ("array",)), []
+    c, kinds = given(v, "Cannot iterate over null (null)", ("array",)), []
 
     def inner(x: Column) -> Column:
         out = value(f, Typed(x, v.type.elementType), scope)

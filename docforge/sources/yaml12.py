@@ -10,12 +10,16 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+from ..plans.values import Spelled
+
 #: The core schema's spellings.
 NULLS = frozenset(("", "~", "null", "Null", "NULL"))
 TRUE, FALSE = frozenset(("true", "True", "TRUE")), frozenset(("false", "False", "FALSE"))
 INTEGER = re.compile(r"[-+]?[0-9]+")
 OCTAL, HEXADECIMAL = re.compile(r"0o[0-7]+"), re.compile(r"0x[0-9a-fA-F]+")
 FLOAT = re.compile(r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?")
+#: A floating point number without a fraction keeps its zeros.
+WHOLE = re.compile(r"[-+]?[0-9]+\.0+")
 INFINITY, NOT_A_NUMBER = re.compile(r"[-+]?\.(?:inf|Inf|INF)"), frozenset((".nan", ".NaN", ".NAN"))
 PREFIX = "tag:yaml.org,2002:"
 COMMENT = re.compile(r"(?:^|\s)#\s?(.*)")
@@ -34,7 +38,7 @@ def resolve(text: str) -> tuple[Any, str]:
     if HEXADECIMAL.fullmatch(text):
         return int(text, 16), "!!int"
     if FLOAT.fullmatch(text) and not math.isinf(float(text)):
-        return float(text), "!!float"
+        return Spelled(text) if WHOLE.fullmatch(text) else float(text), "!!float"
     if INFINITY.fullmatch(text):
         return -math.inf if text[0] == "-" else math.inf, "!!float"
     if text in NOT_A_NUMBER:
@@ -108,7 +112,7 @@ def _key(node: Any) -> str:
     if node.id == "scalar":
         value, _ = scalar(node.value, node.spelled, node.style is None)
         return value if isinstance(value, str) else node.value
-    return _flow(_built(node, [], [""], [], {}))
+    return ""  # a mapping or sequence has no name
 
 
 def _built(node: Any, path: list, lines: list[str], places: list[list], seen: dict[int, Any]) -> Any:
@@ -133,16 +137,18 @@ def _built(node: Any, path: list, lines: list[str], places: list[list], seen: di
         out += [_built(x, [*path, k], lines, places, seen) for k, x in enumerate(node.value)]
         return out
     seen[id(node)] = made = {}
-    merged: dict[str, Any] = {}
+    own: set[str] = set()
     for k, v in node.value:
         if k.id == "scalar" and k.value == "<<" and k.style is None:
-            sources = v.value if v.id == "sequence" else [v]
-            for source in sources:
-                for name, x in (_built(source, [*path, "<<"], lines, [], seen) or {}).items():
-                    merged.setdefault(name, x)
-                    made.setdefault(name, x)
+            # Of several sources the first wins, and the last one's keys come first.
+            for source in reversed(v.value if v.id == "sequence" else [v]):
+                found = _built(source, [*path, "<<"], lines, [], seen)
+                for name, x in found.items() if isinstance(found, dict) else ():
+                    if name not in own:
+                        made[name] = x
         else:
             name = _key(k)
+            own.add(name)
             made[name] = _built(v, [*path, name], lines, places, seen)
     return made
 
@@ -160,6 +166,8 @@ def quoted(text: str, inside: bool = False) -> str:
 
 
 def _number(v: float) -> str:
+    if isinstance(v, Spelled):
+        return v.spelling
     if isinstance(v, float):
         return ".nan" if v != v else (".inf" if v > 0 else "-.inf") if math.isinf(v) else repr(v)
     return str(v)
