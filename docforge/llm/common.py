@@ -65,11 +65,18 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t.docforge_path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows from here on, whose buffers the JVM and the worker both hold; a setting for less stays."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 768 << 10) -> None:
+    """Arrow batches of at most so many rows and about so many bytes from here on, whose buffers the JVM and the worker both hold; settings for less stay.
+
+    Plans read these settings when they run, so they can't be taken back here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < known <= size:
+        spark.conf.set(key, f"{size}b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, materialise
+from .common import discard, held_out, materialise, small_batches
 from .words import SPACE, is_long, mixed, parts_of, pieces, split, sums
 
 BUCKETS = 1 << 17
@@ -160,6 +160,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     """
     model = model or fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import small_batches, tokenizer_path
 from .words import gathered, pieces
 
 #: Bytes of words, with their ids, and pairs of pieces that a worker keeps from one batch to the next.
@@ -315,4 +315,5 @@ def tokenise(docs: DataFrame, model: str | bytes | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "token_ids", "round_trip"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, round_trip boolean")
