@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import values as V
-from .interpreter import Halt, evaluate_tree
+from .interpreter import UNFIT, Halt, evaluate_tree
 from .modules import resolve
 from .tables import compile_filter
 from .typed import NotTyped
@@ -37,7 +37,7 @@ def outputs(tree: tuple, modules: dict, line: str | None, variables: dict | None
             yield n, None, h.message
     except RecursionError:
         yield n, None, "nested too deep"
-    except ValueError as bad:
+    except UNFIT as bad:
         yield n, None, str(bad)
 
 
