@@ -298,3 +298,35 @@ def test_long_text_is_tokenised(spark, monkeypatch):
     df = spark.createDataFrame([(None, "ab cd " * 600_000), (2, "x"), (2, "x")], "doc_id long, text string")
     got = sentencepiece_codec.tokenise(df).collect()
     assert all(r.round_trip for r in got) and sorted(r.doc_id or 0 for r in got) == [0, 2, 2]
+
+
+# Rows alone: nulls, repeats and clashing columns.
+
+
+def test_rows_are_judged_alone(spark):
+    rows = [(1, "the house of the river", "en"), (None, "der fluss und das haus", "de"), (3, None, "en"), (4, "", None), (1, "the house of the river", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS held_out", "2 AS score", "'x' AS token_ids", "3 AS shard", "4 AS size", "5 AS bytes", "6 AS owner")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for made in (language_id.identify, lambda d: quality.score(d, labels), sentencepiece_codec.tokenise, lambda d: sharding.pack_shards(d, 2)):
+        once, twice = made(docs).collect(), made(docs.union(docs)).collect()
+        assert sorted(r.doc_id or 0 for r in once) == [0, 1, 1, 3, 4]
+        assert sorted(r.doc_id or 0 for r in twice) == sorted([0, 1, 1, 3, 4] * 2)
+    found = {(r.doc_id, r.lang_pred, r.held_out) for r in language_id.identify(docs).collect()}
+    assert {(3, "und"), (4, "und")} <= {f[:2] for f in found} and (None, True) in {(f[0], f[2]) for f in found}
+
+
+def test_small_batches_leave_smaller_settings(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "100")
+        spark.conf.set(keys[1], "64k")
+        common.small_batches(spark)
+        assert [spark.conf.get(k) for k in keys][0] == "100" and spark.conf.get(keys[1]) == "64k"
+        spark.conf.set(keys[0], "0")
+        spark.conf.set(keys[1], "64m")
+        common.small_batches(spark)
+        assert int(spark.conf.get(keys[0])) == 2000 and spark.conf.get(keys[1]).startswith(str(768 << 10))
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
