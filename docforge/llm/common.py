@@ -139,8 +139,10 @@ def join_spread(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str,
     facts repeated; there are at most four such keys for each partition, so they are broadcast.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    total, largest = facts.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     most = max(SPREAD_ROWS, total // (4 * parts))
+    if largest <= most:
+        return rows.join(facts, list(on))
     hot = F.broadcast(facts.filter(F.col(size) > most).select(*on, F.ceil(F.col(size) / most).cast("int").alias("__docforge_salts")))
     salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("__docforge_salts")), F.lit(0)).cast("int")
     dealt = rows.join(hot, list(on), "left").withColumn("__docforge_salt", salt).drop("__docforge_salts")
