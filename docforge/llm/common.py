@@ -150,11 +150,11 @@ def join_spread(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str,
     return dealt.join(told, [*on, "__docforge_salt"]).drop("__docforge_salt")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone(doc_id); only rows that a bit filter can't clear are shuffled."""
-    gone = materialise(gone.select("doc_id").distinct(), "gone")
-    may, clear = split_by(docs, "doc_id", bit_filter(gone, "doc_id"))
-    return clear.unionByName(may.join(gone, "doc_id", "left_anti"))
+def without(docs: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs without the rows whose column is in gone(column); only rows that a bit filter can't clear are shuffled."""
+    gone = materialise(gone.select(column).distinct(), "gone")
+    may, clear = split_by(docs, column, bit_filter(gone, column))
+    return clear.unionByName(may.join(gone, column, "left_anti"))
 
 
 def through(df: DataFrame, column: str, known: BitFilter) -> DataFrame:

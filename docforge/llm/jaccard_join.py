@@ -287,8 +287,17 @@ def _blocks(members: DataFrame, more: DataFrame) -> DataFrame:
     """members, a written table of regions, with more(node, ...), each region as one block (i = j = 0) or, if it is large, as pairs of blocks of bounded size that meet all others."""
     count = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     counts = materialise(members.groupBy("region").agg(count.alias("blocks"), F.count(F.lit(1)).alias("n")), "jaccard-blocks")
-    dealt = join_spread(members.join(more, "node"), counts, ["region"], "n", "node").drop("n").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+    # Sets and sketches are fetched last: they are sent by node and by block, not by region too.
+    dealt = join_spread(members, counts, ["region"], "n", "node").drop("n").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other").join(more, "node")
+
+
+def _heads(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first row of each class, as node, of rows(row, digest, ...); both are written tables. Only rows of which a bit filter can't tell that they are first are shuffled with their shingles."""
+    repeated = materialise(classes.filter("copies > 1").select("digest", "node", "copies"), "jaccard-repeated")
+    copies = through(rows.select("digest", "row"), "digest", bit_filter(repeated, "digest"))
+    extra = join_spread(copies, repeated, ["digest"], "copies", "row").filter("row <> node").select("row")
+    return without(rows, extra, "row").withColumnRenamed("row", "node")
 
 
 def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -301,10 +310,13 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     other columns don't matter. A long text is cut into words in parts; its set is held whole.
     """
     docs = docs.select("doc_id", "text")
-    rows = materialise(_keys(docs, _order(docs, width), percent, width), "jaccard-keys")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles", "parity", "firsts").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    placed = reps.select("node", "n_shingles", F.explode("firsts").alias("shingle"))
+    rows = materialise(_keys(docs, _order(docs, width), percent, width).withColumn("row", F.monotonically_increasing_id()), "jaccard-keys")
+    able = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    # A class is numbered by its first row, whose shingles stay where they were written.
+    classes = able.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = materialise(classes, "jaccard-classes")
+    heads = _heads(able, reps)
+    placed = heads.select("node", "n_shingles", F.explode("firsts").alias("shingle"))
     shared = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
     shared = materialise(shared, "jaccard-shared")
     # Similar sets differ in size by a factor of 100 / percent at most: each goes into the region of its band of sizes and into the next one's.
@@ -317,7 +329,7 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     members = materialise(join_spread(through(banded, "region", bit_filter(regions, "region")), regions, ["region"], "n", "node"), "jaccard-members")
     discard(shared, banded)
 
-    sketched = reps.select("node", "n_shingles", "parity")
+    sketched = heads.select("node", "n_shingles", "parity")
     pairs = materialise(members.filter("node <> pivot").select("node", "pivot").distinct(), "jaccard-pairs")
     pivots = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).join(sketched.toDF("pivot", "pivot_n", "pivot_parity"), "pivot")
     pivots = materialise(pivots, "jaccard-pivots")
@@ -360,7 +372,7 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     known = reps.select("node", "rep", "digest", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("rep").alias("component"))
     named = materialise(known.join(least, "label").select("digest", "component", "copies"), "jaccard-named")
-    linked = join_spread(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL"), named, ["digest"], "copies", "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked = join_spread(able.select("doc_id", "n_shingles", "digest"), named, ["digest"], "copies", "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     # A row with an id and no shingles is its own component; one without an id has none.
     return linked.unionByName(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

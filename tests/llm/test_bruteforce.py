@@ -206,6 +206,30 @@ def test_repeated_rows_are_one_node(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard_join.keep_first(df, 90, 3).collect()) == [(False, 1)] * 40 + [(True, 0)] * 2
 
 
+def test_shingles_are_written_once(spark, monkeypatch):
+    r = random.Random(5)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(8)]
+    texts = [" ".join([*base[k % 8][:50], *(f"x{k}" for _ in range(k % 3)), *base[k % 8][50:]]) for k in range(64)]
+    wide, write = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name, **o: wide.extend([name] * ("firsts" in df.columns)) or write(df, name, **o))
+    got = {x.doc_id: x.component_id for x in jaccard_join.linked_components(table(spark, texts).union(table(spark, texts)), 90, 3).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    assert got == {k: min(_reached(sets, k)) for k in range(64)} and wide == ["jaccard-keys"]
+    members = write(spark.createDataFrame([(1, 1, 5, 1), (1, 2, 5, 2)], "region long, node long, n_shingles long, label long"), "members")
+    more = spark.createDataFrame([(1, b"a"), (2, b"b")], "node long, shingles binary")
+    assert sorted((x.region, x.i, x.j, x.node, bytes(x.shingles)) for x in jaccard_join._blocks(members, more).collect()) == [(1, 0, 0, 1, b"a"), (1, 0, 0, 2, b"b")]
+
+
+def _reached(sets, k):
+    found, todo = {k}, [k]
+    while todo:
+        x = sets[todo.pop()]
+        new = {m for m, y in enumerate(sets) if m not in found and 100 * len(x & y) >= 90 * len(x | y)}
+        found |= new
+        todo += new
+    return found
+
+
 # Pages.
 
 
