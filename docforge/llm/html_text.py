@@ -1,10 +1,11 @@
 """Main text of web pages by a suffix array of each host's token streams, with markup as a vote.
 
 Markup cuts a page into blocks and tells where each stands: in an article, on the open page,
-under a class name that hints at boilerplate, or in an element that never is main text. What markup
-doesn't vouch for goes into the host's token streams. Their suffixes, cut off at
+under a class name that hints at boilerplate, or in an element that never is main text. All of its text is
+its token stream on its host. The suffixes of streams, cut off at
 the end of a block, are sorted across all tasks; suffixes that share their first words with one of another page
-are repeats, and the words they cover are taken out where enough pages with a text of their own have them.
+are repeats. The places where a repeat stands in a main text speak for it, the others on pages with a text of their own against it. Every
+block of every page is then decided by what markup and the array say together, see VOTES.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, join_spread, materialise, small_batches, split_by
-from .words import hash64, pieces
+from .common import LEAST_BITS, MOST_BITS, bit_filter, join_spread, materialise, small_batches, split_by, without
+from .words import hash64, mixed, pieces
 
 #: Elements whose content is never text; elements that never hold main text; elements that end a block; elements without content; elements whose content isn't markup.
 DROPPED = frozenset("script style noscript template head title iframe object svg canvas audio video map".split())
@@ -44,12 +45,15 @@ WORD = re.compile(r"[A-Za-z]+")
 MAIN, OPEN, HINTED, CHROME = range(4)
 OUTSIDE = 4
 
+#: What markup says for each standing. The array adds 1 for words that aren't boilerplate of the host and takes 1 for those that are; words with a sum above 0 stay. So an article, also a copied one, and what never is main text are certain, and the array decides the rest.
+VOTES = {MAIN: 2, OPEN: 0, HINTED: 0, CHROME: -2}
+
 #: Words of a run that is looked for on other pages of a host: the depth to which suffixes are compared.
 LEAST_REPEAT = 8
 #: The share of its words that a page has alone on its host, if it is to count; pages and share of the host's that runs and short blocks are on.
 OWN, LEAST_PAGES, LEAST_SHARE = 0.2, 3, 0.1
-#: Streams whose suffixes are listed at a time.
-STREAMS = 200
+#: Streams whose suffixes are listed at a time, at most so many and with about so many characters.
+STREAMS, STREAM_CHARACTERS = 200, 1 << 20
 
 
 def _standing(name: str, attributes: str) -> int:
@@ -198,7 +202,10 @@ def suffixes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _units(keys: np.ndarray) -> np.ndarray:
     """The number of the interval that a suffix lies in: a hash of its key."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.tobytes()) for k in keys), np.uint64, len(keys)).view(np.int64)
+    h = np.zeros(len(keys), np.uint64)
+    for column in keys.astype(np.uint64).T:
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1))
+    return h.view(np.int64)
 
 
 def without_repeats(page: list[str], repeated: np.ndarray) -> list[str]:
@@ -211,24 +218,52 @@ def without_repeats(page: list[str], repeated: np.ndarray) -> list[str]:
     return [" ".join(x for x, g in zip(w, gs, strict=True) if not g) for w, gs in zip(words, gone, strict=True)]
 
 
-def _distinct(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of each stream: stream, key, whether it is a whole block of LEAST_REPEAT words or more, and weight."""
+def _distinct(streams: list[list[str]], sites: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each stream: stream, key, whether it is a whole block of LEAST_REPEAT words or more, and weight; with a bitmap() only those whose unit may be in it."""
     of, _, _, words, long, keys = suffixes(streams)
+    if known is not None:
+        spot = (_units(keys) ^ sites[of]) & (8 * len(known) - 1)
+        there = known[spot >> 3] >> (spot & 7) & 1 == 1
+        of, words, long, keys = of[there], words[there], long[there], keys[there]
     rows = np.column_stack([of.astype(">u8"), keys]).astype(">u8")
     first = np.sort(np.unique(rows.view(f"V{rows.shape[1] * 8}").ravel(), return_index=True)[1]) if len(rows) else np.zeros(0, np.int64)
     weight = np.where(long, 0, np.where(words >= LEAST_REPEAT, 1, words)).astype(np.int32)
     return of[first], keys[first], long[first], weight[first]
 
 
-def _listed(streams: DataFrame, columns: list[str], extra: list[str]) -> DataFrame:
-    """A row for each distinct unit of a stream: the stream's columns, unit, and of key, long and weight those asked for."""
+def bitmap(units: DataFrame, n: int) -> np.ndarray:
+    """A filter over units(site, unit), about n of them: 32 to 64 bits for each, and at most 2**MOST_BITS (32 MB); when it fills up it lets more through and never loses one."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+    bit = F.pmod(F.col("unit").bitwiseXOR(F.col("site")), F.lit(1 << bits)) + 1  # the bitmap functions count from 1
+    slabs = units.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in slabs.toLocalIterator():
+        out[(r["slab"] - 1) * 4096 : r["slab"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return out
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with column stream, of at most STREAMS rows and about STREAM_CHARACTERS."""
+    start, size = 0, 0
+    for k, stream in enumerate(b.column("stream")):
+        own = sum(map(len, stream.as_py()))
+        if k > start and (k - start == STREAMS or size + own > STREAM_CHARACTERS):
+            yield b.slice(start, k - start)
+            start, size = k, 0
+        size += own
+    if len(b):
+        yield b.slice(start)
+
+
+def _listed(streams: DataFrame, columns: list[str], extra: list[str], known: np.ndarray | None = None) -> DataFrame:
+    """A row for each distinct unit of a stream: the stream's columns, unit, and of key, long and weight those asked for; with a bitmap() only units that may be in it."""
     kinds = {"key": "binary", "long": "boolean", "weight": "int"}
+    sent = None if known is None else streams.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), STREAMS):
-                part = b.slice(k, STREAMS)
-                of, keys, long, weight = _distinct(part.column("stream").to_pylist())
+            for part in _slices(b):
+                of, keys, long, weight = _distinct(part.column("stream").to_pylist(), part.column("site").to_numpy(), sent and sent.value)
                 made = {"key": lambda: pa.array([x.tobytes() for x in keys], pa.binary()), "long": lambda: pa.array(long), "weight": lambda: pa.array(weight)}  # noqa: B023
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of)) for c in columns), pa.array(_units(keys)), *(made[c]() for c in extra)], [*columns, "unit", *extra])
 
@@ -237,16 +272,27 @@ def _listed(streams: DataFrame, columns: list[str], extra: list[str]) -> DataFra
 
 
 def suffix_array(streams: DataFrame) -> DataFrame:
-    """Rows (site, unit, mark, shared, long, weight): the suffixes of streams(site, mark, stream) that may occur in another stream of the site, in the order of each site's suffix array.
+    """Rows (site, unit, mark, shared, long, weight, main): the suffixes of streams(site, mark, stream) that may occur in another stream of the site, in the order of each site's suffix array.
+
+    A further column main(array) holds the blocks of a stream that are main text; their suffixes have main set. One whose unit
+    occurs in main texts only has no bearing on any block, as all its places are vouched for; such suffixes are left out, by a
+    filter over the units of the other blocks, and column n_rest says about how many of those there are.
 
     A first pass over hashes tells which suffixes occur once and needn't be sorted. The array is sorted across tasks
     by site and key, then by stream, so that a passage that very many pages have is spread too; a unit is an
     interval of suffixes with the same key, and shared how many words a suffix has in common with the one before it.
     """
-    again = _listed(streams, ["site"], []).groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    small_batches(streams.sparkSession)
+    rest = _listed(streams, ["site"], [])
+    listed = _listed(streams, ["site", "mark"], ["key", "long", "weight"]).withColumn("main", F.lit(False))
+    if "main" in streams.columns:
+        mains = streams.select("site", "mark", F.col("main").alias("stream")).filter("size(stream) > 0")
+        known = bitmap(rest, streams.agg(F.coalesce(F.sum("n_rest"), F.lit(0))).first()[0])
+        rest = rest.unionByName(_listed(mains, ["site"], [], known))
+        listed = listed.unionByName(_listed(mains, ["site", "mark"], ["key", "long", "weight"], known).withColumn("main", F.lit(True)))
+    again = rest.groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = materialise(again.select(F.xxhash64("site", "unit").alias("spot")), "host-again")
-    listed = _listed(streams, ["site", "mark"], ["key", "long", "weight"]).withColumn("spot", F.xxhash64("site", "unit"))
-    found, _ = split_by(listed, "spot", bit_filter(again, "spot"))
+    found, _ = split_by(listed.withColumn("spot", F.xxhash64("site", "unit")), "spot", bit_filter(again, "spot"))
     ordered = found.drop("spot").repartitionByRange("site", "key", "mark").sortWithinPartitions("site", "key", "mark")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,27 +305,28 @@ def suffix_array(streams: DataFrame) -> DataFrame:
             same = np.concatenate([[sites[0] == site], sites[1:] == sites[:-1]])[:, None] & (keys == np.concatenate([last[None], keys[:-1]]))
             shared = np.where(same[:, :LEAST_REPEAT].all(1), LEAST_REPEAT, same[:, :LEAST_REPEAT].argmin(1)).astype(np.int32)
             site, last = sites[-1], keys[-1]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("site", "unit", "mark")), pa.array(shared), b.column("long"), b.column("weight")], ["site", "unit", "mark", "shared", "long", "weight"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("site", "unit", "mark")), pa.array(shared), b.column("long"), b.column("weight"), b.column("main")], ["site", "unit", "mark", "shared", "long", "weight", "main"])
 
-    return ordered.mapInArrow(numbered, "site long, unit long, mark long, shared int, long boolean, weight int")
+    return ordered.mapInArrow(numbered, "site long, unit long, mark long, shared int, long boolean, weight int, main boolean")
 
 
 def boilerplate(streams: DataFrame) -> DataFrame:
-    """site, unit, n: the units of streams(site, mark, n_main, stream) that are boilerplate of their site, and in how many streams they are.
+    """site, unit, n: the units of streams(row, site, mark, n_main, n_rest, main, stream) that are boilerplate of their site, and in how many streams they are outside main text.
 
-    Streams of a mark count once, and only if OWN of the page's words, main text included, are in no other stream of the site, so that
+    Streams of a mark count once (the first row's, and row tells rows apart; streams is a written table), and only if OWN of the page's words, main text included, are in no other stream of the site, so that
     copies don't tell against each other. Whole blocks of LEAST_REPEAT words are boilerplate in two such streams;
-    shorter blocks, and runs inside blocks, in at least LEAST_PAGES and LEAST_SHARE of the site's.
+    shorter blocks, and runs inside blocks, in at least LEAST_PAGES and LEAST_SHARE of the site's. What as many streams or more have in their main text isn't.
     """
-    once = materialise(streams.dropDuplicates(["site", "mark"]), "host-streams")
+    firsts = materialise(streams.groupBy("site", "mark").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "host-marks")
+    extra = join_spread(streams.select("site", "mark", "row"), firsts, ["site", "mark"], "n", "row").filter("row <> first")
+    once = without(streams, extra.select("row"), "row")
     array = materialise(suffix_array(once), "host-suffixes")
-    units = materialise(array.groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "host-units")
+    units = materialise(array.groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low <> high").select("site", "unit", "n"), "host-units")
     repeated = join_spread(array, units, ["site", "unit"], "n", "mark").groupBy("site", "mark").agg(F.sum("weight").alias("repeated"))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), STREAMS):
-                part = b.slice(k, STREAMS)
+            for part in _slices(b):
                 of, _, _, weight = _distinct(part.column("stream").to_pylist())
                 every = np.bincount(of, weight, len(part)).astype(np.int64) + part.column("n_main").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("site"), part.column("mark"), pa.array(every)], ["site", "mark", "every"])
@@ -288,8 +335,8 @@ def boilerplate(streams: DataFrame) -> DataFrame:
     counted = every.join(repeated, ["site", "mark"], "left").filter(F.col("every") - F.coalesce("repeated", F.lit(0)) >= OWN * F.col("every"))
     counted = materialise(counted.select("site", "mark"), "host-counted")
     of_site = materialise(counted.groupBy("site").agg(F.count(F.lit(1)).alias("of")), "host-pages")
-    times = array.join(counted, ["site", "mark"]).groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or("long").alias("long"))
-    times = materialise(times.filter("n > 1"), "host-times")
+    times = array.join(counted, ["site", "mark"]).groupBy("site", "unit").agg(F.count_if(~F.col("main")).alias("n"), F.count_if("main").alias("vouched"), F.bool_or("long").alias("long"))
+    times = materialise(times.filter("n > 1 AND n > vouched"), "host-times")
     told = join_spread(times, of_site, ["site"], "of", "unit")
     enough = F.when(F.col("long"), 2).otherwise(F.greatest(F.lit(LEAST_PAGES), F.ceil(LEAST_SHARE * F.col("of"))))
     return told.filter(F.col("n") >= enough).select("site", "unit", "n")
@@ -298,9 +345,9 @@ def boilerplate(streams: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages(page_id, url, html, ...).
 
-    A page with an article or main element gives the text of those, another its whole text; from both goes
-    what stands in menus, headers, footers, sidebars, notices, adverts, forms and reader comments, by element, class, id or role.
-    A block whose class only hints at that, like "share-prices", goes if the host's suffix array shows it to be boilerplate(); on pages without an
+    Each block stays or goes by VOTES and the host's suffix array, which holds the whole text of every page. What stands in menus,
+    headers, footers, sidebars, notices, adverts, forms and reader comments, by element, class, id or role, goes, and on a page with an article or main element what
+    is outside those. A block whose class only hints at that, like "share-prices", goes if the array shows it to be boilerplate(); on pages without an
     article go all runs of words that are. Null and empty html give an empty text; a url without a host has no other pages.
     A page is parsed in one piece, however long. Repeated rows repeat (equal pages count as one), an
     empty table stays empty, and other columns don't matter.
@@ -316,11 +363,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = [blocks(h or "")[0] for h in part.to_pylist()]
                 cut = b.slice(start, len(part))
                 main = [[t for t, s in x if s == MAIN] for x in found]
-                stream = [[t for t, s in x if s != MAIN] for x in found]
+                rest = [[t for t, s in x if s != MAIN] for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("page_id"), cut.column("url"), cut.column("host"), pa.array([[t for t, s in x if s != CHROME] for x in found], pa.list_(pa.string())), pa.array([[s for _, s in x if s != CHROME] for x in found], pa.list_(pa.int8())),
-                     pa.array(stream, pa.list_(pa.string())), pa.array([sum(t.count(" ") + 1 for t in x) for x in main], pa.int64()), pa.array([xxhash.xxh3_64_intdigest("\n".join(m or s).encode(errors="replace")) - 2**63 for m, s in zip(main, stream, strict=True)], pa.int64())],
-                    ["page_id", "url", "host", "texts", "standing", "stream", "n_main", "mark"],
+                    [cut.column("page_id"), cut.column("url"), cut.column("host"), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[s for _, s in x] for x in found], pa.list_(pa.int8())),
+                     *(pa.array([sum(t.count(" ") + 1 for t in x) for x in y], pa.int64()) for y in (main, rest)), pa.array([xxhash.xxh3_64_intdigest("\n".join(m or s).encode(errors="replace")) - 2**63 for m, s in zip(main, rest, strict=True)], pa.int64())],
+                    ["page_id", "url", "host", "texts", "standing", "n_main", "n_rest", "mark"],
                 )
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,29 +377,36 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # The host by the same rule as for every other use of a url.
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
-    kept = pages.withColumn("host", host).mapInArrow(parsed, f"page_id {kinds['page_id']}, url string, host string, texts array<string>, standing array<tinyint>, stream array<string>, n_main long, mark long")
-    kept = materialise(kept.withColumn("site", F.xxhash64("host")), "page-blocks")
-    bad = materialise(boilerplate(kept.filter("host <> '' AND size(stream) > 0").select("site", "mark", "n_main", "stream")), "host-boilerplate")
-    # What markup has decided needs no repeats.
-    unsure = F.exists("standing", lambda s: s != MAIN)
-    content = F.xxhash64("texts")
-    open_pages = kept.filter(unsure).withColumn("content", content)
-    asked = open_pages.filter("host <> ''").select("site", "content", F.col("texts").alias("stream")).dropDuplicates(["site", "content"])
+    kept = pages.withColumn("host", host).mapInArrow(parsed, f"page_id {kinds['page_id']}, url string, host string, texts array<string>, standing array<tinyint>, n_main long, n_rest long, mark long")
+    kept = materialise(kept.withColumn("site", F.xxhash64("host")).withColumn("row", F.monotonically_increasing_id()), "page-blocks")
+
+    def standing_as(*which: int) -> Column:
+        return F.filter("texts", lambda _, k: F.get("standing", k).isin(*which))
+
+    streams = kept.filter("host <> '' AND size(texts) > 0").select("row", "site", "mark", "n_main", "n_rest", standing_as(MAIN).alias("main"), standing_as(OPEN, HINTED, CHROME).alias("stream"))
+    bad = materialise(boilerplate(streams), "host-boilerplate")
+    # Where markup is certain, the array's vote can't turn the sum: of other blocks the units are looked up.
+    unsure = standing_as(*(s for s, v in VOTES.items() if abs(v) <= 1))
+    pages_read = kept.withColumn("content", F.xxhash64(unsure))
+    asked = kept.filter("host <> ''").select("site", unsure.alias("stream")).filter("size(stream) > 0").withColumn("content", F.xxhash64("stream")).dropDuplicates(["site", "content"])
     units = _listed(asked, ["site", "content"], []).withColumn("spot", F.xxhash64("site", "unit"))
     units, _ = split_by(units, "spot", bit_filter(bad.select(F.xxhash64("site", "unit").alias("spot")), "spot"))
     lists = join_spread(units.drop("spot"), bad, ["site", "unit"], "n", "content").groupBy("site", "content").agg(F.collect_set("unit").alias("repeated"))
     lists = materialise(lists, "page-repeats")
     columns = ["page_id", "url", "texts", "standing", "repeated"]
-    may, clear = split_by(open_pages, "content", bit_filter(lists, "content"))
-    cut = may.join(lists, ["site", "content"], "left").select(columns).unionByName(clear.withColumn("repeated", F.lit(None).cast("array<bigint>")).select(columns)).mapInArrow(finished, schema)
-    text = F.array_join("texts", "\n\n")
-    return kept.filter(~unsure).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")).unionByName(cut)
+    may, clear = split_by(pages_read, "content", bit_filter(lists, "content"))
+    return may.join(lists, ["site", "content"], "left").select(columns).unionByName(clear.withColumn("repeated", F.lit(None).cast("array<bigint>")).select(columns)).mapInArrow(finished, schema)
 
 
 def decided(texts: list[str], standing: list[int], repeated: list[int] | None) -> str:
-    """A page's main text, given the units of its blocks that are boilerplate of its host."""
-    left = without_repeats(texts, np.array(repeated, np.int64)) if repeated else texts
+    """A page's main text by VOTES, given the units of its blocks that are boilerplate of its host."""
     article = MAIN in standing
-    # In an article a hinted block goes as a whole or not at all.
-    kept = [t if s == MAIN or article and rest else "" if article else rest for t, rest, s in zip(texts, left, standing, strict=True)]
+    kept = []
+    for t, s in zip(texts, standing, strict=True):
+        if VOTES[s] > 1 or VOTES[s] >= -1 and not repeated:
+            kept.append(t)
+        elif VOTES[s] >= -1:
+            rest = without_repeats([t], np.array(repeated, np.int64))[0]
+            # In an article a hinted block goes as a whole or not at all.
+            kept.append(t if article and rest else rest)
     return "\n\n".join(t for t in kept if t)

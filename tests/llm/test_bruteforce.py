@@ -261,6 +261,15 @@ def test_article_keeps_what_names_only_hint_at(spark):
     assert got == {1: "one\n\ndon't two\n\nShare prices rose.\n\nRelated work exists.", 2: "text", 9007199254740993: "big", None: "null"}
 
 
+def test_main_text_of_other_pages_votes_for_a_repeat(spark):
+    line = "a verse that the articles of this host quote word for word"
+    footer = "this long line stands below each page of the host as it is"
+    rows = [(k, f"http://h/{k}", f"<article><p>{line}</p><p>{' '.join(f'a{k}_{n}' for n in range(20))}</p></article><div>{footer}</div>") for k in range(3)]
+    rows += [(k, f"http://h/{k}", f"<p>{line}</p><p>{' '.join(f'b{k}_{n}' for n in range(20))}</p><div>{footer}</div>") for k in (3, 4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{line}\n\n" + " ".join(f"{'a' if k < 3 else 'b'}{k}_{n}" for n in range(20)) for k in range(5)}
+
+
 def test_pages_alone_and_none(spark):
     pages = spark.createDataFrame([(9007199254740993, "http://a.net/"), (None, "x")], "page_id long, url string").selectExpr("*", "'z' AS host", "1 AS verdict")
     assert {r.page_id for r in url_filter.filter_urls(pages).collect()} == {9007199254740993, None}
