@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LEAST_BITS, MOST_BITS, bit_filter, join_spread, materialise, small_batches, split_by, without
-from .words import hash64, mixed, pieces
+from .words import mixed, pieces
 
 #: Elements whose content is never text; elements that never hold main text; elements that end a block; elements without content; elements whose content isn't markup.
 DROPPED = frozenset("script style noscript template head title iframe object svg canvas audio video map".split())
@@ -47,6 +48,7 @@ OUTSIDE = 4
 
 #: What markup says for each standing. The array adds 1 for words that aren't boilerplate of the host and takes 1 for those that are; words with a sum above 0 stay. So an article, also a copied one, and what never is main text are certain, and the array decides the rest.
 VOTES = {MAIN: 2, OPEN: 0, HINTED: 0, CHROME: -2}
+UNSURE = tuple(s for s, v in VOTES.items() if abs(v) <= 1)
 
 #: Words of a run that is looked for on other pages of a host: the depth to which suffixes are compared.
 LEAST_REPEAT = 8
@@ -54,6 +56,8 @@ LEAST_REPEAT = 8
 OWN, LEAST_PAGES, LEAST_SHARE = 0.2, 3, 0.1
 #: Streams whose suffixes are listed at a time, at most so many and with about so many characters.
 STREAMS, STREAM_CHARACTERS = 200, 1 << 20
+#: Bytes of a word that is hashed together with others.
+LONG_WORD = 64
 
 
 def _standing(name: str, attributes: str) -> int:
@@ -166,109 +170,164 @@ def _element_end(page: str, name: str, at: int) -> int:
     return found.end() if found else len(page)
 
 
-def suffixes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes of token streams, each a list of blocks: stream, block, first word, the words that count, whether it is a whole block of LEAST_REPEAT words or more, and the key by which they sort.
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time of all words that are as long, and one by one of those above LONG_WORD bytes."""
+    size = np.asarray(pc.binary_length(words)).astype(np.int64)
+    starts = np.cumsum(size) - size
+    data = np.zeros(size.sum() + 8, np.uint8)
+    if size.any():
+        _, offsets, held = words.buffers()
+        data[:-8] = np.frombuffer(held, np.uint8, len(data) - 8, np.frombuffer(offsets, np.int32)[words.offset])
+    # The eight bytes from each byte on.
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h = mixed(size.astype(np.uint64))
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + size[k]])
+    rows = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = 0
+    while len(rows):
+        lane = lanes[starts[rows] + at].astype(np.uint64)
+        there = np.minimum(size[rows] - at, 8).astype(np.uint64)
+        h[rows] = mixed(h[rows] ^ (lane & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * there)))) + np.uint64(1)
+        at += 8
+        rows = rows[size[rows] > at]
+    return h
+
+
+def suffixes(streams: pa.Array, sites: np.ndarray | None = None, known: np.ndarray | None = None, keyed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The suffixes of token streams, each a list of blocks: stream, block, first word, the words that count, whether it is a whole block of LEAST_REPEAT words or more, the unit, and if asked the key by which they sort; with a bitmap() only those whose unit may be in it.
 
     A key holds the hashes of LEAST_REPEAT words, zeros beyond the end of the block, and the whole block's
     hash where a suffix starts a block and counts as a whole: a block as such, and in a longer one each suffix that has LEAST_REPEAT words.
+    A unit is the number of the interval that a suffix lies in: a hash of its key. Keys are made only for the suffixes that are returned.
     """
-    of = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
-    flat = [b for s in streams for b in s]
-    lists = pa.array([b.split(" ") for b in flat], pa.list_(pa.string()))
-    coded = lists.flatten().dictionary_encode()
-    tokens = hash64(coded.dictionary)[np.asarray(coded.indices).astype(np.int64)] if len(flat) else np.zeros(0, np.uint64)
+    flat = streams.flatten().cast(pa.string())
+    of = np.repeat(np.arange(len(streams)), np.asarray(pc.list_value_length(streams)))
+    lists = pc.split_pattern(flat, " ")
+    tokens = word_hashes(lists.flatten())
     begins = np.asarray(lists.offsets).astype(np.int64)
     size = np.diff(begins)
     block = np.repeat(np.arange(len(flat)), size)
-    place = np.arange(len(tokens)) - begins[block]
-    full = np.flatnonzero(place + LEAST_REPEAT <= size[block])
     padded = np.append(tokens, np.zeros(LEAST_REPEAT, np.uint64))
-    steps = np.arange(LEAST_REPEAT)
-
-    def key(starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        there = starts[:, None] + steps
-        words = np.where(there < begins[block[starts] + 1][:, None], padded[there], np.uint64(0)) if len(starts) else np.zeros((0, LEAST_REPEAT), np.uint64)
-        return np.ascontiguousarray(np.column_stack([words, whole]).astype(">u8"))
-
-    digests = np.fromiter((xxhash.xxh64_intdigest(b.encode(errors="replace"), 1) | 1 for b in flat), np.uint64, len(flat))
-    heads = begins[:-1].copy()
-    keys = np.concatenate([key(heads, digests), key(full, np.zeros(len(full), np.uint64))]) if len(flat) else np.zeros((0, LEAST_REPEAT + 1), ">u8")
-    owner = np.concatenate([np.arange(len(flat)), block[full]])
-    first = np.concatenate([np.zeros(len(flat), np.int64), place[full]])
-    words = np.concatenate([size, np.full(len(full), LEAST_REPEAT)])
-    long = np.concatenate([size >= LEAST_REPEAT, np.zeros(len(full), bool)])
-    return of[owner], owner, first, words, long, keys
+    digests = np.fromiter((xxhash.xxh64_intdigest(x, 1) | 1 for x in flat.cast(pa.binary()).to_pylist()), np.uint64, len(flat))
+    full = np.flatnonzero(np.arange(len(tokens)) + LEAST_REPEAT <= begins[1:][block])
+
+    def columns(starts: np.ndarray, whole: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(LEAST_REPEAT):
+            yield np.where(starts + k < begins[1:][block[starts]], padded[starts + k], np.uint64(0))
+        yield whole
+
+    # Every word starts a window; the windows that leave their block are then left out.
+    windows = _hashed([*(padded[k : k + len(tokens)] for k in range(LEAST_REPEAT)), np.uint64(0)], len(tokens))
+    units = np.concatenate([_hashed(columns(begins[:-1], digests), len(flat)), windows[full]]).view(np.int64)
+    at = np.concatenate([begins[:-1], full])
+    picked = np.arange(len(at))
+    if known is not None:
+        spot = (units ^ sites[of[block[at]]]) & (8 * len(known) - 1)
+        picked = np.flatnonzero(known[spot >> 3] >> (spot & 7) & 1)
+    at, units, heads = at[picked], units[picked], picked < len(flat)
+    owner = block[at]
+    keys = np.column_stack(list(columns(at, np.where(heads, digests[owner], np.uint64(0))))).astype(">u8") if keyed else None
+    return of[owner], owner, at - begins[owner], np.where(heads, size[owner], LEAST_REPEAT), heads & (size[owner] >= LEAST_REPEAT), units, keys
 
 
-def _units(keys: np.ndarray) -> np.ndarray:
-    """The number of the interval that a suffix lies in: a hash of its key."""
-    h = np.zeros(len(keys), np.uint64)
-    for column in keys.astype(np.uint64).T:
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1))
-    return h.view(np.int64)
+def _hashed(columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """A hash of each of n rows of columns."""
+    h = np.zeros(n, np.uint64)
+    for column in columns:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += column
+        h += np.uint64(1)
+        h = mixed(h)
+    return h
 
 
 def without_repeats(page: list[str], repeated: np.ndarray) -> list[str]:
     """The blocks of a page without the words that lie in a repeated unit; blocks with nothing left are empty."""
     words = [b.split(" ") for b in page]
     gone = [bytearray(len(w)) for w in words]
-    _, owner, first, n, _, keys = suffixes([page])
-    for k in np.flatnonzero(np.isin(_units(keys), repeated)):
+    _, owner, first, n, _, units, _ = suffixes(pa.array([page], pa.list_(pa.string())))
+    for k in np.flatnonzero(np.isin(units, repeated)):
         gone[owner[k]][first[k] : first[k] + n[k]] = b"\1" * int(n[k])
     return [" ".join(x for x, g in zip(w, gs, strict=True) if not g) for w, gs in zip(words, gone, strict=True)]
 
 
-def _distinct(streams: list[list[str]], sites: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of each stream: stream, key, whether it is a whole block of LEAST_REPEAT words or more, and weight; with a bitmap() only those whose unit may be in it."""
-    of, _, _, words, long, keys = suffixes(streams)
-    if known is not None:
-        spot = (_units(keys) ^ sites[of]) & (8 * len(known) - 1)
-        there = known[spot >> 3] >> (spot & 7) & 1 == 1
-        of, words, long, keys = of[there], words[there], long[there], keys[there]
-    rows = np.column_stack([of.astype(">u8"), keys]).astype(">u8")
-    first = np.sort(np.unique(rows.view(f"V{rows.shape[1] * 8}").ravel(), return_index=True)[1]) if len(rows) else np.zeros(0, np.int64)
+def _distinct(streams: pa.Array, sites: np.ndarray | None = None, known: np.ndarray | None = None, keyed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct units of each stream: stream, unit, whether it is a whole block of LEAST_REPEAT words or more, weight, and if asked the key; with a bitmap() only those that may be in it."""
+    of, _, _, words, long, units, keys = suffixes(streams, sites, known, keyed)
+    order = np.lexsort((units, of))
+    new = (np.diff(of[order], prepend=-1) != 0) | np.append(True, units[order][1:] != units[order][:-1])[: len(of)]
+    first = np.sort(order[new])
+    of, units, words, long = of[first], units[first], words[first], long[first]
     weight = np.where(long, 0, np.where(words >= LEAST_REPEAT, 1, words)).astype(np.int32)
-    return of[first], keys[first], long[first], weight[first]
+    return of, units, long, weight, keys[first] if keyed else None
 
 
-def bitmap(units: DataFrame, n: int) -> np.ndarray:
-    """A filter over units(site, unit), about n of them: 32 to 64 bits for each, and at most 2**MOST_BITS (32 MB); when it fills up it lets more through and never loses one."""
+def words_apart(streams: pa.Array) -> np.ndarray:
+    """The weight of all distinct units of each stream."""
+    out = np.zeros(len(streams), np.int64)
+    for start, part in _slices([streams]):
+        of, _, _, weight, _ = _distinct(part[0])
+        out[start : start + len(part[0])] = np.bincount(of, weight, len(part[0]))
+    return out
+
+
+def bitmap(streams: DataFrame, n: int) -> np.ndarray:
+    """A filter over the units of streams(site, stream), about n of them: 32 to 64 bits for each, and at most 2**MOST_BITS (32 MB); when it fills up it lets more through and never loses one."""
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
-    bit = F.pmod(F.col("unit").bitwiseXOR(F.col("site")), F.lit(1 << bits)) + 1  # the bitmap functions count from 1
-    slabs = units.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, (part,) in _slices([b.column("stream")]):
+                of, units, *_ = _distinct(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique((units ^ b.column("site").to_numpy()[start + of]) & ((1 << bits) - 1)))], ["bit"])
+
+    bit = F.col("bit") + 1  # the bitmap functions count from 1
+    slabs = streams.select("site", "stream").mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number(bit).alias("slab")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
     out = np.zeros(1 << bits - 3, np.uint8)
     for r in slabs.toLocalIterator():
         out[(r["slab"] - 1) * 4096 : r["slab"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
     return out
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with column stream, of at most STREAMS rows and about STREAM_CHARACTERS."""
-    start, size = 0, 0
-    for k, stream in enumerate(b.column("stream")):
-        own = sum(map(len, stream.as_py()))
-        if k > start and (k - start == STREAMS or size + own > STREAM_CHARACTERS):
-            yield b.slice(start, k - start)
-            start, size = k, 0
-        size += own
-    if len(b):
-        yield b.slice(start)
+def _slices(columns: list[pa.Array]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Slices of columns of streams with their first row, of at most STREAMS rows and about STREAM_CHARACTERS."""
+    size = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        done = np.append(0, np.cumsum(np.asarray(pc.utf8_length(column.flatten()))))
+        size += np.diff(done[np.append(0, np.cumsum(np.asarray(pc.list_value_length(column))))])
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        stop = min(start + STREAMS, max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + STREAM_CHARACTERS, "right"))))
+        yield start, [c.slice(start, stop - start) for c in columns]
+        start = stop
 
 
 def _listed(streams: DataFrame, columns: list[str], extra: list[str], known: np.ndarray | None = None) -> DataFrame:
-    """A row for each distinct unit of a stream: the stream's columns, unit, and of key, long and weight those asked for; with a bitmap() only units that may be in it."""
-    kinds = {"key": "binary", "long": "boolean", "weight": "int"}
+    """A row for each distinct unit of a stream: the stream's columns, unit, and of key, long, weight and main those asked for; with a bitmap() also, with main set, for those of the column main that may be in it."""
+    kinds = {"key": "binary", "long": "boolean", "weight": "int", "main": "boolean"}
+    texts = ["stream"] if known is None else ["stream", "main"]
     sent = None if known is None else streams.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _slices(b):
-                of, keys, long, weight = _distinct(part.column("stream").to_pylist(), part.column("site").to_numpy(), sent and sent.value)
-                made = {"key": lambda: pa.array([x.tobytes() for x in keys], pa.binary()), "long": lambda: pa.array(long), "weight": lambda: pa.array(weight)}  # noqa: B023
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of)) for c in columns), pa.array(_units(keys)), *(made[c]() for c in extra)], [*columns, "unit", *extra])
+            for start, parts in _slices([b.column(t) for t in texts]):
+                told = [b.column(c).slice(start, len(parts[0])) for c in columns]
+                for main, part in enumerate(parts):
+                    of, units, long, weight, keys = _distinct(part, *((b.column("site").to_numpy()[start:], sent.value) if main else (None, None)), "key" in extra)
+                    made = {"key": lambda: _binary(keys), "long": lambda: pa.array(long), "weight": lambda: pa.array(weight), "main": lambda: pa.array(np.full(len(of), bool(main)))}  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in told), pa.array(units), *(made[c]() for c in extra)], [*columns, "unit", *extra])
 
     schema = ", ".join([*(f"{c} long" for c in columns), "unit long", *(f"{c} {kinds[c]}" for c in extra)])
-    return streams.select(*columns, "stream").mapInArrow(run, schema)
+    return streams.select(*columns, *texts).mapInArrow(run, schema)
+
+
+def _binary(keys: np.ndarray) -> pa.Array:
+    """Rows of an array as bytes."""
+    keys = np.ascontiguousarray(keys)
+    ends = np.arange(len(keys) + 1, dtype=np.int32) * (keys.shape[1] * keys.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
 
 
 def suffix_array(streams: DataFrame) -> DataFrame:
@@ -283,13 +342,9 @@ def suffix_array(streams: DataFrame) -> DataFrame:
     interval of suffixes with the same key, and shared how many words a suffix has in common with the one before it.
     """
     small_batches(streams.sparkSession)
-    rest = _listed(streams, ["site"], [])
-    listed = _listed(streams, ["site", "mark"], ["key", "long", "weight"]).withColumn("main", F.lit(False))
-    if "main" in streams.columns:
-        mains = streams.select("site", "mark", F.col("main").alias("stream")).filter("size(stream) > 0")
-        known = bitmap(rest, streams.agg(F.coalesce(F.sum("n_rest"), F.lit(0))).first()[0])
-        rest = rest.unionByName(_listed(mains, ["site"], [], known))
-        listed = listed.unionByName(_listed(mains, ["site", "mark"], ["key", "long", "weight"], known).withColumn("main", F.lit(True)))
+    known = bitmap(streams, streams.agg(F.coalesce(F.sum("n_rest"), F.lit(0))).first()[0]) if "main" in streams.columns else None
+    rest = _listed(streams, ["site"], [], known)
+    listed = _listed(streams, ["site", "mark"], ["key", "long", "weight", "main"], known)
     again = rest.groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = materialise(again.select(F.xxhash64("site", "unit").alias("spot")), "host-again")
     found, _ = split_by(listed.withColumn("spot", F.xxhash64("site", "unit")), "spot", bit_filter(again, "spot"))
@@ -311,9 +366,9 @@ def suffix_array(streams: DataFrame) -> DataFrame:
 
 
 def boilerplate(streams: DataFrame) -> DataFrame:
-    """site, unit, n: the units of streams(row, site, mark, n_main, n_rest, main, stream) that are boilerplate of their site, and in how many streams they are outside main text.
+    """site, unit, n: the units of streams(row, site, mark, every, n_rest, main, stream) that are boilerplate of their site, and in how many streams they are outside main text.
 
-    Streams of a mark count once (the first row's, and row tells rows apart; streams is a written table), and only if OWN of the page's words, main text included, are in no other stream of the site, so that
+    Column every is the weight of all words of the page. Streams of a mark count once (the first row's, and row tells rows apart; streams is a written table), and only if OWN of the page's words, main text included, are in no other stream of the site, so that
     copies don't tell against each other. Whole blocks of LEAST_REPEAT words are boilerplate in two such streams;
     shorter blocks, and runs inside blocks, in at least LEAST_PAGES and LEAST_SHARE of the site's. What as many streams or more have in their main text isn't.
     """
@@ -324,15 +379,7 @@ def boilerplate(streams: DataFrame) -> DataFrame:
     units = materialise(array.groupBy("site", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low <> high").select("site", "unit", "n"), "host-units")
     repeated = join_spread(array, units, ["site", "unit"], "n", "mark").groupBy("site", "mark").agg(F.sum("weight").alias("repeated"))
 
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in _slices(b):
-                of, _, _, weight = _distinct(part.column("stream").to_pylist())
-                every = np.bincount(of, weight, len(part)).astype(np.int64) + part.column("n_main").to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column("site"), part.column("mark"), pa.array(every)], ["site", "mark", "every"])
-
-    every = once.select("site", "mark", "n_main", "stream").mapInArrow(weighed, "site long, mark long, every long")
-    counted = every.join(repeated, ["site", "mark"], "left").filter(F.col("every") - F.coalesce("repeated", F.lit(0)) >= OWN * F.col("every"))
+    counted = once.select("site", "mark", "every").join(repeated, ["site", "mark"], "left").filter(F.col("every") - F.coalesce("repeated", F.lit(0)) >= OWN * F.col("every"))
     counted = materialise(counted.select("site", "mark"), "host-counted")
     of_site = materialise(counted.groupBy("site").agg(F.count(F.lit(1)).alias("of")), "host-pages")
     times = array.join(counted, ["site", "mark"]).groupBy("site", "unit").agg(F.count_if(~F.col("main")).alias("n"), F.count_if("main").alias("vouched"), F.bool_or("long").alias("long"))
@@ -362,51 +409,46 @@ def extract(pages: DataFrame) -> DataFrame:
             for start, part in pieces(b.column("html")):
                 found = [blocks(h or "")[0] for h in part.to_pylist()]
                 cut = b.slice(start, len(part))
-                main = [[t for t, s in x if s == MAIN] for x in found]
-                rest = [[t for t, s in x if s != MAIN] for x in found]
+                main, unsure, chrome, rest = ([[t for t, s in x if s in which] for x in found] for which in ((MAIN,), UNSURE, (CHROME,), (*UNSURE, CHROME)))
+                n_main, n_rest = (np.array([sum(t.count(" ") + 1 for t in x) for x in y], np.int64) for y in (main, rest))
+                lists = [pa.array(x, pa.list_(pa.string())) for x in (main, unsure, chrome)]
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("page_id"), cut.column("url"), cut.column("host"), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[s for _, s in x] for x in found], pa.list_(pa.int8())),
-                     *(pa.array([sum(t.count(" ") + 1 for t in x) for x in y], pa.int64()) for y in (main, rest)), pa.array([xxhash.xxh3_64_intdigest("\n".join(m or s).encode(errors="replace")) - 2**63 for m, s in zip(main, rest, strict=True)], pa.int64())],
-                    ["page_id", "url", "host", "texts", "standing", "n_main", "n_rest", "mark"],
+                    [cut.column("page_id"), cut.column("url"), cut.column("host"), *lists, pa.array([[s for _, s in x] for x in found], pa.list_(pa.int8())),
+                     pa.array(n_main + words_apart(pa.array(rest, pa.list_(pa.string())))), pa.array(n_rest), pa.array([xxhash.xxh3_64_intdigest("\n".join(m or s).encode(errors="replace")) - 2**63 for m, s in zip(main, rest, strict=True)], pa.int64())],
+                    ["page_id", "url", "host", "main", "unsure", "chrome", "standing", "every", "n_rest", "mark"],
                 )
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [decided(*x) for x in zip(*(b.column(c).to_pylist() for c in ("texts", "standing", "repeated")), strict=True)]
+            texts = [decided(*x) for x in zip(*(b.column(c).to_pylist() for c in ("main", "unsure", "standing", "repeated")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # The host by the same rule as for every other use of a url.
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
-    kept = pages.withColumn("host", host).mapInArrow(parsed, f"page_id {kinds['page_id']}, url string, host string, texts array<string>, standing array<tinyint>, n_main long, n_rest long, mark long")
-    kept = materialise(kept.withColumn("site", F.xxhash64("host")).withColumn("row", F.monotonically_increasing_id()), "page-blocks")
-
-    def standing_as(*which: int) -> Column:
-        return F.filter("texts", lambda _, k: F.get("standing", k).isin(*which))
+    # Blocks of each kind in a column, so that a pass reads only those that it needs.
+    kept = pages.withColumn("host", host).mapInArrow(parsed, f"page_id {kinds['page_id']}, url string, host string, main array<string>, unsure array<string>, chrome array<string>, standing array<tinyint>, every long, n_rest long, mark long")
+    kept = kept.withColumn("site", F.xxhash64("host")).withColumn("content", F.xxhash64("unsure")).withColumn("row", F.monotonically_increasing_id())
+    kept = materialise(kept, "page-blocks")
 
-    streams = kept.filter("host <> '' AND size(texts) > 0").select("row", "site", "mark", "n_main", "n_rest", standing_as(MAIN).alias("main"), standing_as(OPEN, HINTED, CHROME).alias("stream"))
+    streams = kept.filter("host <> '' AND size(standing) > 0").select("row", "site", "mark", "every", "n_rest", "main", F.concat("unsure", "chrome").alias("stream"))
     bad = materialise(boilerplate(streams), "host-boilerplate")
     # Where markup is certain, the array's vote can't turn the sum: of other blocks the units are looked up.
-    unsure = standing_as(*(s for s, v in VOTES.items() if abs(v) <= 1))
-    pages_read = kept.withColumn("content", F.xxhash64(unsure))
-    asked = kept.filter("host <> ''").select("site", unsure.alias("stream")).filter("size(stream) > 0").withColumn("content", F.xxhash64("stream")).dropDuplicates(["site", "content"])
+    asked = kept.filter("host <> '' AND size(unsure) > 0").select("site", F.col("unsure").alias("stream"), "content").dropDuplicates(["site", "content"])
     units = _listed(asked, ["site", "content"], []).withColumn("spot", F.xxhash64("site", "unit"))
     units, _ = split_by(units, "spot", bit_filter(bad.select(F.xxhash64("site", "unit").alias("spot")), "spot"))
     lists = join_spread(units.drop("spot"), bad, ["site", "unit"], "n", "content").groupBy("site", "content").agg(F.collect_set("unit").alias("repeated"))
     lists = materialise(lists, "page-repeats")
-    columns = ["page_id", "url", "texts", "standing", "repeated"]
-    may, clear = split_by(pages_read, "content", bit_filter(lists, "content"))
+    columns = ["page_id", "url", "main", "unsure", "standing", "repeated"]
+    may, clear = split_by(kept, "content", bit_filter(lists, "content"))
     return may.join(lists, ["site", "content"], "left").select(columns).unionByName(clear.withColumn("repeated", F.lit(None).cast("array<bigint>")).select(columns)).mapInArrow(finished, schema)
 
 
-def decided(texts: list[str], standing: list[int], repeated: list[int] | None) -> str:
-    """A page's main text by VOTES, given the units of its blocks that are boilerplate of its host."""
-    article = MAIN in standing
-    kept = []
-    for t, s in zip(texts, standing, strict=True):
-        if VOTES[s] > 1 or VOTES[s] >= -1 and not repeated:
-            kept.append(t)
-        elif VOTES[s] >= -1:
-            rest = without_repeats([t], np.array(repeated, np.int64))[0]
-            # In an article a hinted block goes as a whole or not at all.
-            kept.append(t if article and rest else rest)
+def decided(main: list[str], unsure: list[str], standing: list[int], repeated: list[int] | None) -> str:
+    """A page's main text by VOTES, given its blocks by what markup says, where each stands, and the units of its unsure blocks that are boilerplate of its host."""
+    if unsure and repeated:
+        rest = without_repeats(unsure, np.array(repeated, np.int64))
+        # In an article a hinted block goes as a whole or not at all.
+        unsure = [t if main and r else r for t, r in zip(unsure, rest, strict=True)]
+    sure, open_ = iter(main), iter(unsure)
+    kept = main if not unsure else [next(sure if s == MAIN else open_) for s in standing if s == MAIN or s in UNSURE]
     return "\n\n".join(t for t in kept if t)

@@ -253,6 +253,45 @@ def test_suffix_array_finds_the_repeats(spark):
     assert sorted(sorted(v) for v in times.values() if len(v) > 1) == want
 
 
+def test_units_and_keys_are_the_same_behind_a_filter():
+    r = random.Random(13)
+    vocabulary = ["a", "ab", "\u00fc\u00fc", "eightchr", "ninechars", "x" * 64, "x" * 65, "y" * 3000, *(f"v{k}" for k in range(30))]
+    passages = [r.choices(vocabulary, k=n) for n in (1, 7, 8, 9, 25)]
+    streams = [[" ".join(r.choices(vocabulary, k=r.randrange(1, 40)) + r.choice(passages)) for _ in range(r.randrange(4))] + [" ".join(r.choice(passages))] * r.randrange(3) for _ in range(30)]
+    listed = pa.array([["cut off"], *streams], pa.list_(pa.string())).slice(1)
+    of, owner, first, n, _, units, keys = html_text.suffixes(listed, keyed=True)
+    flat = [b.split(" ") for s in streams for b in s]
+    told = {(b, 0): (len(w), tuple(w[:8]), tuple(w)) for b, w in enumerate(flat)}
+    want = sorted([(b, 0, *x) for (b, _), x in told.items()] + [(b, i, 8, tuple(w[i : i + 8]), ()) for b, w in enumerate(flat) for i in range(len(w) - 7)])
+    names = {}
+    for o, f, k, u, key in zip(owner.tolist(), first.tolist(), n.tolist(), units.tolist(), map(bytes, keys), strict=True):
+        names.setdefault((u, key), []).append((o, f, k))
+    groups = {}
+    for o, f, k, *what in want:
+        groups.setdefault(tuple(what), []).append((o, f, k))
+    assert sorted(map(sorted, names.values())) == sorted(map(sorted, groups.values())) and len({u for u, _ in names}) == len(names)
+    # Behind a filter only what it lets through, with the same units and keys.
+    sites = np.arange(30) * 2**40 + 7
+    known = np.random.default_rng(1).integers(0, 256, 1 << 10, np.uint8)
+    spot = (units ^ sites[of]) & (8 * len(known) - 1)
+    there = (known[spot >> 3] >> (spot & 7) & 1).astype(bool)
+    for whole, part in zip(html_text.suffixes(listed, keyed=True), html_text.suffixes(listed, sites, known, True), strict=True):
+        assert 0 < there.sum() < len(there) and (whole[there] == part).all()
+    # Each unit once a stream, where it first occurs.
+    got = html_text._distinct(listed, keyed=True)
+    assert [(o, u) for o, u in zip(got[0].tolist(), got[1].tolist(), strict=True)] == list(dict.fromkeys(zip(of.tolist(), units.tolist(), strict=True)))
+
+
+def test_pages_are_read_by_few_passes(spark, monkeypatch):
+    passes, over = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *x: passes.append(df.columns) or over(df, *x))
+    rows = [(k, f"http://h/{k}", f"<nav>menu of the host</nav><article><p>story {k}</p></article>") for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"story {k}" for k in range(6)}
+    # Parsing, the filter, both passes of the array and its numbers, the units asked for, the texts: main text goes through the workers three times after parsing.
+    assert len(passes) == 7 and sum("main" in c and "key" not in c for c in passes) == 3
+
+
 def test_article_keeps_what_names_only_hint_at(spark):
     page = "<article><p title=it's>one</p><p>don't two</p><p id=\"share-prices\">Share prices rose.</p><p class=related-work>Related work exists.</p><div class=ad>buy</div><p class='comment-list'>nice!</p></article><p>outside</p>"
     nested = "<body class='has-header'><div class='no-sidebar'><nav>menu</nav><main><p>text</p></main><p>after</p></div></body>"
